@@ -9,6 +9,7 @@ from palimpsest.llm.common import table
 from palimpsest.llm.decontaminate import contamination
 from palimpsest.llm.exact_dedup import exact_duplicates
 from palimpsest.llm.line_dedup import apply_keep
+from palimpsest.llm.near_dedup import near_duplicates
 from palimpsest.llm.piece_encoding import piece_ids
 from palimpsest.llm.token_counts import token_counts
 
@@ -21,6 +22,10 @@ def op3_piece_encoding(spark, sf_dir):
     return piece_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
 
+def op5_near_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op7_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -35,7 +40,7 @@ def op10_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_piece_encoding, op7_token_counts, op8_decontaminate, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_piece_encoding, op5_near_dedup, op7_token_counts, op8_decontaminate, op10_line_dedup)}
 
 ORACLE = {
     "op1_exact_dedup": r"""
