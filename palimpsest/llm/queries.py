@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import table
 from palimpsest.llm.decontaminate import contamination
 from palimpsest.llm.exact_dedup import exact_duplicates
+from palimpsest.llm.language_id import held_out, languages, train
 from palimpsest.llm.line_dedup import apply_keep
 from palimpsest.llm.near_dedup import near_duplicates
 from palimpsest.llm.piece_encoding import piece_ids
@@ -35,12 +36,17 @@ def op8_decontaminate(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return languages(docs, train(docs.filter(~held_out()))).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op10_line_dedup(spark, sf_dir):
     kept = apply_keep(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_piece_encoding, op5_near_dedup, op7_token_counts, op8_decontaminate, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_piece_encoding, op5_near_dedup, op7_token_counts, op8_decontaminate, op9_language_id, op10_line_dedup)}
 
 ORACLE = {
     "op1_exact_dedup": r"""
