@@ -9,6 +9,7 @@ from palimpsest.llm.common import table
 from palimpsest.llm.decontaminate import contamination
 from palimpsest.llm.exact_dedup import exact_duplicates
 from palimpsest.llm.language_id import held_out, languages, train
+from palimpsest.llm.language_model import document_scores
 from palimpsest.llm.line_dedup import apply_keep
 from palimpsest.llm.near_dedup import near_duplicates
 from palimpsest.llm.piece_encoding import piece_ids
@@ -19,6 +20,10 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark, sf_dir):
+    return document_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_piece_encoding(spark, sf_dir):
     return piece_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
@@ -46,7 +51,7 @@ def op10_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_piece_encoding, op5_near_dedup, op7_token_counts, op8_decontaminate, op9_language_id, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_lm_scoring, op3_piece_encoding, op5_near_dedup, op7_token_counts, op8_decontaminate, op9_language_id, op10_line_dedup)}
 
 ORACLE = {
     "op1_exact_dedup": r"""
