@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import narrow, slices
+from palimpsest.llm.common import narrow, slices, written
 
 WINDOW = 10
 #: Bytes that separate words become spaces and A-Z become lower case; all others stay.
@@ -145,3 +145,22 @@ def _merged(parts: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<start: long, end: long, first: long, last: long>>")
     both = both.withColumn("spans", F.aggregate("runs", none, add)).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"]))
     return both.select(*key, "n_hit", "items", "spans")
+
+
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", *, window: int = WINDOW, block_bytes: int = 2 << 20) -> DataFrame:
+    """docs without the rows whose text holds a window of an item; all columns stay, and so do null and empty texts."""
+
+    def keeper(patterns):
+        def run(batches):
+            a = automaton(patterns.value)
+            for batch in slices(batches):
+                texts = batch.column(text_col).to_pylist()
+                yield batch.filter(pa.array([not (len(a) and scan(a, t)[1]) for t in texts], pa.bool_()))
+
+        return run
+
+    blocks = list(_blocks(narrow(items, item_col, item_text), window, block_bytes))
+    for k, patterns in enumerate(blocks):
+        docs = docs.mapInArrow(keeper(docs.sparkSession.sparkContext.broadcast(patterns)), docs.schema)
+        docs = written(docs) if k + 1 < len(blocks) else docs
+    return docs

@@ -138,11 +138,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     return fit([r["excerpt"] for r in rows], [r["label"] for r in rows]) if rows else None
 
 
-def languages(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", *, keep: bool = False) -> DataFrame:
-    """One row per row of docs: doc_id, lang_pred and score in 0..1 (with keep, all columns of docs and these two).
+def languages(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", *, keep: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """One row per row of docs: doc_id, and under `names` the label and its probability (with keep, all columns of docs and these two).
 
     A text that is null or has no letter is `und` with score 0, as is every text if there was nothing to learn from. Only the text
-    decides. Repeated rows each get a row. With keep, docs must not have columns lang_pred or score.
+    decides. Repeated rows each get a row. With keep, docs must not have columns of these names.
     """
     rows = docs if keep else docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     name = text_col if keep else "text"
@@ -152,9 +152,9 @@ def languages(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text
         for batch in slices(batches, 256):
             got = predict(net, batch.column(name).to_pylist())
             columns = {c: batch.column(c) for c in batch.schema.names if c not in drop}
-            yield pa.RecordBatch.from_pydict(columns | {"lang_pred": pa.array([g[0] for g in got]), "score": pa.array([g[1] for g in got], pa.float64())})
+            yield pa.RecordBatch.from_pydict(columns | {names[0]: pa.array([g[0] for g in got], pa.string()), names[1]: pa.array([g[1] for g in got], pa.float64())})
 
-    schema = rows.drop(*drop).schema.add("lang_pred", "string").add("score", "double")
+    schema = rows.drop(*drop).schema.add(names[0], "string").add(names[1], "double")
     return rows.mapInArrow(run, schema)
 
 

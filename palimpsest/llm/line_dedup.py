@@ -59,15 +59,16 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return drops.select("doc_id", "digest", F.size("at").cast("long").alias("n_dropped"), F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("length"))).alias("runs"))
 
 
-def apply_keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with text_col less its dropped lines, and columns n_lines and n_dropped. Every row stays; null texts stay null.
+def apply_keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, names: tuple[str, str] = ("n_lines", "n_dropped"), **options) -> DataFrame:
+    """docs with text_col less its dropped lines, and two columns of the given names: lines before, and lines dropped.
 
-    docs must not have columns named n_lines, n_dropped or pal_id, pal_digest, runs.
+    Every row and column stays; null texts stay null and count one line. Only the two names may not be columns of docs.
     """
-    drops = dropped_lines(docs, id_col, text_col, **options).withColumnsRenamed({"doc_id": "pal_id", "digest": "pal_digest"})
+    drops = dropped_lines(docs, id_col, text_col, **options).select(F.col("doc_id").alias("__pal_id"), F.col("digest").alias("__pal_digest"), F.col("n_dropped").alias("__pal_dropped"), F.col("runs").alias("__pal_runs"))
     text = F.col(f"`{text_col}`")
-    both = docs.join(drops, F.col(f"`{id_col}`").eqNullSafe(F.col("pal_id")) & (F.xxhash64(text) == F.col("pal_digest")), "left")
+    both = docs.join(drops, F.col(f"`{id_col}`").eqNullSafe(F.col("__pal_id")) & (F.xxhash64(text) == F.col("__pal_digest")), "left")
     lines = _lines(text)
-    gone = F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["start"] + r["length"] - 1)))
+    gone = F.flatten(F.transform("__pal_runs", lambda r: F.sequence(r["start"], r["start"] + r["length"] - 1)))
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i)), "\n")
-    return both.withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dropped", F.coalesce("n_dropped", F.lit(0)).cast("long")).withColumn(text_col, F.when(F.col("runs").isNotNull(), kept).otherwise(text)).drop("pal_id", "pal_digest", "runs")
+    both = both.withColumns({names[0]: F.size(lines).cast("long"), names[1]: F.coalesce("__pal_dropped", F.lit(0)).cast("long")})
+    return both.withColumn(text_col, F.when(F.col("__pal_runs").isNotNull(), kept).otherwise(text)).drop("__pal_id", "__pal_digest", "__pal_dropped", "__pal_runs")

@@ -15,6 +15,7 @@ import hashlib
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -159,7 +160,7 @@ def piece_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             digest = [pa.array([hashlib.sha256(g[k].encode()).hexdigest() for g in got], pa.string()) for k in (1, 2)]
             out = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array([g[0] for g in got], pa.int64()), "ids_sha256": digest[0], "decoded_sha256": digest[1]}
             if with_ids:
-                out |= {"ids": pa.array([[int(x) for x in g[1].split(",")] if g[1] else [] for g in got], pa.list_(pa.int32())), "decoded": pa.array([g[2] for g in got], pa.string())}
+                out |= {"ids": pa.array([np.array(g[1].split(",") if g[1] else [], np.int32) for g in got], pa.list_(pa.int32())), "decoded": pa.array([g[2] for g in got], pa.string())}
             yield pa.RecordBatch.from_pydict(out)
 
     texts = narrow(docs, id_col, text_col)

@@ -13,7 +13,9 @@ from palimpsest.llm.language_model import document_scores
 from palimpsest.llm.line_dedup import apply_keep
 from palimpsest.llm.near_dedup import near_duplicates
 from palimpsest.llm.piece_encoding import piece_ids
+from palimpsest.llm.secret_scan import secrets
 from palimpsest.llm.token_counts import token_counts
+from palimpsest.llm.url_filter import judged
 
 
 def op1_exact_dedup(spark, sf_dir):
@@ -28,10 +30,26 @@ def op3_piece_encoding(spark, sf_dir):
     return piece_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
 
+def op4_secret_scan(spark, sf_dir):
+    found = secrets(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = (F.size(of(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex"))
+    return found.select("doc_id", *counts, F.sha2(text(of("assign", "access", "hex")), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
 def op5_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+#: Verdict, host and path of each rule (fixed values).
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op6_url_filter(spark, sf_dir):
+    return judged(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -51,7 +69,7 @@ def op10_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_lm_scoring, op3_piece_encoding, op5_near_dedup, op7_token_counts, op8_decontaminate, op9_language_id, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_lm_scoring, op3_piece_encoding, op4_secret_scan, op5_near_dedup, op6_url_filter, op7_token_counts, op8_decontaminate, op9_language_id, op10_line_dedup)}
 
 ORACLE = {
     "op1_exact_dedup": r"""
