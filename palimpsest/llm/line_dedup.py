@@ -28,11 +28,10 @@ def _lines(text):
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _first_documents(rows: DataFrame, by: list[str], salt: str | None) -> DataFrame:
-    """rows with `first`, whether the row's document is the first of its key. Null ids come last."""
-    group = [*by, salt] if salt else by
-    dealt = rows.repartitionByRange(_partitions(rows), by[0], *([salt] if salt else []))
-    order = Window.partitionBy(*group).orderBy(F.col("doc_id").asc_nulls_last())
+def _first_documents(rows: DataFrame, salt: str):
+    """rows with `first`, whether the row's document is the first of its key and salt. Null ids come last."""
+    dealt = rows.repartitionByRange(_partitions(rows), "h", salt)
+    order = Window.partitionBy("h", "h2", salt).orderBy(F.col("doc_id").asc_nulls_last())
     return dealt.withColumn("first", F.col("doc_id").eqNullSafe(F.first("doc_id").over(order)))
 
 
@@ -45,15 +44,16 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     never dropped.
     """
     texts = narrow(docs, id_col, text_col).filter("text is not null")
-    # A-Z by translate: lower() would also change letters beyond ASCII
-    key = F.translate(F.regexp_replace("line", "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    trimmed = F.btrim("line", F.lit(" \t\n\x0b\x0c\r"))
+    # lower() would also change letters beyond ASCII: where there are any, A-Z are translated
+    key = F.when(F.octet_length(trimmed) == F.char_length(trimmed), F.lower(trimmed)).otherwise(F.translate(trimmed, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     lines = texts.select("doc_id", F.xxhash64("text").alias("digest"), F.posexplode(_lines(F.col("text"))).alias("pos", "line")).select("doc_id", "digest", "pos", key.alias("key"))
     rows = lines.filter(F.char_length("key") >= min_points).select("doc_id", "digest", "pos", F.xxhash64("key").alias("h"), F.xxhash64(F.lit("second"), F.col("key")).alias("h2"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"))
-    apart = _first_documents(rows, ["h", "h2"], "salt")
-    sure = apart.filter("not first").select("doc_id", "digest", "pos")
-    left = apart.filter("first").select("h", "h2", "doc_id", "digest", "pos")
-    more = _first_documents(left, ["h", "h2"], None).filter("not first").select("doc_id", "digest", "pos")
-    drops = sure.unionByName(more).groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    apart = _first_documents(rows, "salt").withColumnRenamed("first", "once")
+    # The firsts of all salts meet under salt -1; what is dropped already goes where it was.
+    apart = apart.withColumn("salt", F.when(F.col("once"), F.lit(-1).cast("long")).otherwise(F.col("salt")))
+    lost = _first_documents(apart, "salt").filter("not (once and first)")
+    drops = lost.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     starts = F.filter("at", lambda x, i: (i == 0) | (F.get("at", i - 1) != x - 1))
     ends = F.filter("at", lambda x, i: (i == F.size("at") - 1) | (F.get("at", i + 1) != x + 1))
     return drops.select("doc_id", "digest", F.size("at").cast("long").alias("n_dropped"), F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("length"))).alias("runs"))
