@@ -5,14 +5,16 @@ value). Rounds stop when no bin is empty, for most texts after one or two. Round
 i - t, so each coordinate fills whatever the set. Two sets agree in a coordinate with probability equal to their Jaccard
 similarity, with concentration as for t independent samples.
 
-Bands: 24 bands of 4 coordinates. A pair of similarity 0.85 is missed by all with probability 2e-7, one of 0.9 with 1e-11.
+Bands: 40 bands of 6 coordinates. A pair of similarity 0.85 is missed by all with probability 6e-9, one of 0.8 with 5e-6; texts
+that share a passage and little else (similarity 0.2) meet in a band with probability 6e-5. Pairs whose sizes alone rule out the
+similarity are dropped before any text moves.
 
 Copies (equal sets) collapse to their smallest id first. In each bucket every text is compared with one hub, the smallest.
 What linked texts leave over goes on: in a bucket with several components left, all pairs between them if few texts are left, else
 some new hubs each round against all others, until no two texts of different components are left unconfirmed. So no link
 is lost to a cap, and a bucket of m copies costs m comparisons.
 
-Scale: shuffles carry band keys (24 a distinct text), pairs, and the text of documents that are in a pair. A hub's partners are dealt
+Scale: shuffles carry band keys (40 a distinct text), pairs, and the text of documents that are in a pair. A hub's partners are dealt
 over salts of about `per_salt` rows, with the hub's text copied to each. The driver sees counts only.
 """
 
@@ -29,7 +31,7 @@ from palimpsest.llm.common import narrow, slices, written
 from palimpsest.llm.components import components
 
 SHINGLE = 5
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 40, 6
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -178,29 +180,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     texts = narrow(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     sketched = written(texts.mapInArrow(_sketched(size, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>"))
-    classes = written(sketched.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min_by(F.struct("doc_id", "bands"), "doc_id").alias("x")).select("digest", F.col("x.doc_id").alias("id"), F.col("x.bands").alias("bands")))
-    placed = classes.select("id", F.explode("bands").alias("key"))
-    buckets = written(placed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1"))
-    member = F.col("id") != F.col("hub")
-    pairs = written(placed.join(buckets, "key").filter(member).select("hub", "id").distinct())
+    classes = written(sketched.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands"), "doc_id").alias("x")).select("digest", F.col("x.doc_id").alias("id"), F.col("x.n_shingles").alias("n_own"), F.col("x.bands").alias("bands")))
+    placed = classes.select("id", "n_own", F.explode("bands").alias("key"))
+    buckets = written(placed.groupBy("key").agg(F.min(F.struct("id", "n_own")).alias("x"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("x.id").alias("hub"), F.col("x.n_own").alias("n_hub"), "n"))
+    member, sizes = F.col("id") != F.col("hub"), 100 * F.least("n_own", "n_hub") >= percent * F.greatest("n_own", "n_hub")
+    pairs = written(placed.join(buckets, "key").filter(member & sizes).select("hub", "id").distinct())
     edges = written(confirmed(texts, pairs, size, percent, per_salt))
     found = written(components(edges))
-    left = placed.join(buckets.filter("n > 2"), "key").filter(member).select("key", "id")
+    left = placed.join(buckets.filter("n > 2"), "key").filter(member).select("key", "id", "n_own")
     n = 0
     while True:
         n += 1
         label = found.withColumnRenamed("node", "id")
-        left = written(left.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
+        left = written(left.join(label, "id", "left").select("key", "id", "n_own", F.coalesce("component", "id").alias("component")))
         open_ = left.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key", "n")
         left = written(left.join(open_, "key"))
         if left.isEmpty():
             break
         is_hub = (F.col("n") <= few) | (F.pmod(F.xxhash64("id", "key", F.lit(n)), F.ceil(F.col("n") / hubs)) == 0)
-        heads = left.filter(is_hub).select("key", F.col("id").alias("hub"), F.col("component").alias("other"))
-        more = left.join(heads, "key").filter("component != other and (id > hub or n > %d)" % few).select("hub", "id").distinct()
+        heads = left.filter(is_hub).select("key", F.col("id").alias("hub"), F.col("n_own").alias("n_hub"), F.col("component").alias("other"))
+        more = left.join(heads, "key").filter(F.expr(f"component != other and (id > hub or n > {few})") & sizes).select("hub", "id").distinct()
         edges = written(edges.unionByName(written(confirmed(texts, written(more), size, percent, per_salt))))
         found = written(components(edges))
-        left = left.filter(~is_hub).select("key", "id")
+        left = left.filter(~is_hub).select("key", "id", "n_own")
     label = classes.select("digest", "id").join(found, F.col("id") == F.col("node"), "left").select(F.col("digest").alias("of"), F.coalesce("component", "id").alias("component"))
     out = sketched.select("doc_id", "n_shingles", "digest").join(label, (F.col("digest") == F.col("of")) & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), "left")
     component = F.coalesce("component", "doc_id")
