@@ -1,4 +1,215 @@
 """The queries of the versioned key-value operators, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from palimpsest.functions import keys
+from palimpsest.functions.postings import postings
+from palimpsest.operators import files, reads, versions
+
+BATCH = 500
+
+
+def _table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def history(spark, sf_dir):
+    """events as set-valued histories of users: the later the event the newer."""
+    e = _table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type").isin("signup", "purchase"), 1).when(F.col("event_type") == "error", 2).otherwise(3)
+    member, none = F.array(F.get_json_object("props", "$.k").cast("long")), F.array().cast("array<bigint>")
+    return e.select("user_id", "event_id", (-F.col("event_id")).alias("prec"), kind.alias("kind"), F.when(F.col("event_type").isin("signup", "purchase", "click"), member).otherwise(none).alias("add"), F.when(F.col("event_type") == "view", member).otherwise(none).alias("rem"))
+
+
+def _text(c):
+    return F.array_join(F.transform(c, lambda m: m.cast("string")), ",")
+
+
+def _members(df):
+    return df.select("user_id", F.size("add").cast("long").alias("n_members"), _text("add").alias("members"))
+
+
+def resolve_set_bottom(spark, sf_dir):
+    return _members(versions.resolve_sets(history(spark, sf_dir), "user_id", bottom=True))
+
+
+def resolve_set_partial(spark, sf_dir):
+    out = versions.resolve_sets(history(spark, sf_dir).filter(F.col("event_id") % 7 == 0), "user_id", bottom=False)
+    return out.select("user_id", "kind", _text("add").alias("added"), _text("rem").alias("removed"))
+
+
+def _plain(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    return e.select("user_id", (-F.col("event_id")).alias("prec"), F.when(F.col("event_type") == "error", 2).otherwise(1).alias("kind"), "event_id", "event_type")
+
+
+def lww_put_delete(spark, sf_dir):
+    return versions.last_writer(_plain(spark, sf_dir), "user_id", bottom=True).select("user_id", "event_id", "event_type")
+
+
+def tombstones_kept(spark, sf_dir):
+    return versions.last_writer(_plain(spark, sf_dir), "user_id", bottom=False).select("user_id", "kind", "event_id")
+
+
+def merge_all_versions(spark, sf_dir):
+    return versions.with_precedence(_plain(spark, sf_dir).drop("prec"), "user_id", F.desc("event_id")).select("user_id", "event_id", "kind", F.col("prec").cast("long").alias("prec"))
+
+
+def merge_runs(spark, sf_dir):
+    e = _plain(spark, sf_dir).select("user_id", "event_id", "kind")
+    return versions.merge_runs([e.filter(F.col("event_id") % 3 == k) for k in (2, 1, 0)]).withColumn("prec", F.col("prec").cast("long"))
+
+
+def range_iter(spark, sf_dir):
+    return _members(reads.bound(versions.resolve_sets(history(spark, sf_dir), "user_id", bottom=True), "user_id", 20, 60))
+
+
+def seek_page(spark, sf_dir):
+    return reads.page(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), 50, "o_orderkey", 1000)
+
+
+def point_get(spark, sf_dir):
+    return reads.bound(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey", 42, 43)
+
+
+def multi_get(spark, sf_dir):
+    wanted = _table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return reads.multi_get(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), wanted, "o_custkey")
+
+
+def locate_large(spark, sf_dir):
+    return reads.locate(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "n_bytes", "large")
+
+
+def _flushed(spark, sf_dir):
+    e = _plain(spark, sf_dir).withColumn("seq", F.floor(F.col("event_id") / BATCH).cast("long"))
+    return e.groupBy("seq", "user_id").agg(F.max_by(F.struct("event_id", "kind"), "event_id").alias("x")).select("seq", "user_id", "x.*")
+
+
+def flush_batches(spark, sf_dir):
+    top = _flushed(spark, sf_dir).withColumn("prec", -F.col("seq"))
+    return versions.last_writer(top, "user_id", bottom=True).select("user_id", "seq", "event_id")
+
+
+def table_meta(spark, sf_dir):
+    return files.table_meta(_flushed(spark, sf_dir), "seq", "user_id")
+
+
+def files_overlapping(spark, sf_dir):
+    meta = files.table_meta(_flushed(spark, sf_dir).filter(F.col("event_id") % 50 == 0), "seq", "user_id").withColumn("level", (F.col("seq") % 3).cast("long"))
+    return files.newest_first(meta.filter(files.overlaps(30, 40))).select("level", "seq", "min", "max", F.col("prec").cast("long").alias("prec"))
+
+
+def signature(spark, sf_dir):
+    return files.signature(files_overlapping(spark, sf_dir).withColumn("name", F.concat(F.lit("f"), F.col("seq"))))
+
+
+def runs_by_space(spark, sf_dir):
+    e = _flushed(spark, sf_dir).withColumn("space", (F.col("user_id") % 4).cast("long"))
+    return e.groupBy("space", "seq").agg(F.count("*").alias("entries"), F.count_if(F.col("kind") == 2).alias("deletes"))
+
+
+def compact_then_read(spark, sf_dir):
+    """The older half compacted to one entry a key, then read under the newer half: the same as reading all."""
+    h = history(spark, sf_dir)
+    old = versions.resolve_sets(h.filter(F.col("event_id") % 2 == 0).filter("event_id < 4000"), "user_id", bottom=False)
+    old = old.withColumn("prec", F.lit(1).cast("long"))
+    new = h.filter("event_id >= 4000").drop("event_id")
+    return _members(versions.resolve_sets(new.unionByName(old.select(new.columns)), "user_id", bottom=True))
+
+
+def duplicate_key_history(spark, sf_dir):
+    l = _table(spark, sf_dir, "lineitem")  # noqa: E741
+    rest = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+    top = l.groupBy("l_orderkey", "l_linenumber").agg(F.max(F.struct(*rest)).alias("x"), F.count("*").alias("n_versions"))
+    return top.select("l_orderkey", "l_linenumber", "x.l_partkey", "x.l_quantity", "n_versions")
+
+
+def keyenc_string(spark, sf_dir):
+    return _table(spark, sf_dir, "customer").select("c_custkey", F.hex(keys.encode_string(F.col("c_name").cast("binary"))).alias("key"), F.decode(keys.decode_string(keys.encode_string(F.col("c_name").cast("binary"))), "utf-8").alias("name"))
+
+
+def keyenc_double(spark, sf_dir):
+    c = _table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.hex(keys.encode_double(F.col("c_acctbal"))).alias("key"))
+    return c.select("c_custkey", F.substring("key", 1, 16).alias("key"), (F.col("c_acctbal") < 0).alias("below"))
+
+
+def prefix_end(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", F.hex(keys.prefix_end(F.substring("p_name", 1, 3).cast("binary"))).alias("upper_bound"))
+
+
+def postings_rows(spark, sf_dir):
+    return postings(_table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("weight").alias("total"))
+
+
+def set_union_except(spark, sf_dir):
+    e = history(spark, sf_dir).groupBy("user_id").agg(F.array_distinct(F.flatten(F.collect_list("add"))).alias("a"), F.array_distinct(F.flatten(F.collect_list("rem"))).alias("r"))
+    return e.select("user_id", _text(F.array_sort(F.array_union("a", "r"))).alias("either"), _text(F.array_sort(F.array_except("a", "r"))).alias("only_added"))
+
+
+def fold_sum(spark, sf_dir):
+    """A merge function of one's own: put sets a number, merges add to it."""
+    e = _table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type").isin("signup", "purchase"), 1).when(F.col("event_type") == "error", 2).otherwise(3)
+    v = e.select("user_id", (-F.col("event_id")).alias("prec"), kind.alias("kind"), (F.col("event_id") % 100).alias("value"))
+    out = versions.resolve_with(v, lambda base, ops: F.aggregate(ops, F.coalesce(base, F.lit(0).cast("long")), lambda a, x: a + x), "long", "user_id", bottom=True)
+    return out.select("user_id", "value")
+
+
+_HISTORY = """h AS (SELECT user_id, event_id, event_type,
+    CASE WHEN event_type IN ('signup','purchase') THEN 1 WHEN event_type = 'error' THEN 2 ELSE 3 END AS kind,
+    CAST(json_extract_string(props, '$.k') AS BIGINT) AS m FROM events {where}),
+t AS (SELECT *, max(CASE WHEN kind <> 3 THEN event_id END) OVER (PARTITION BY user_id) AS term FROM h),
+live AS (SELECT * FROM t WHERE term IS NULL OR event_id >= term),
+lastm AS (SELECT user_id, m, event_type, row_number() OVER (PARTITION BY user_id, m ORDER BY event_id DESC) AS rn FROM live WHERE kind <> 2)"""
+_BOTTOM = "SELECT user_id, count(*) AS n_members, string_agg(CAST(m AS VARCHAR), ',' ORDER BY m) AS members FROM lastm WHERE rn = 1 AND event_type <> 'view' {more} GROUP BY user_id"
+_ALL = "WITH " + _HISTORY.format(where="") + " " + _BOTTOM
+_FLUSHED = f"""f AS (SELECT user_id, seq, event_id, kind FROM (SELECT user_id, event_id // {BATCH} AS seq, event_id, CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS kind,
+    row_number() OVER (PARTITION BY user_id, event_id // {BATCH} ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1)"""
+_TOP = "(SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn, CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS kind FROM events)"
+_OVERLAPPING = f"""WITH {_FLUSHED}, g AS (SELECT seq % 3 AS level, seq, min(user_id) AS min, max(user_id) AS max FROM f WHERE event_id % 50 = 0 GROUP BY seq),
+p AS (SELECT *, row_number() OVER (ORDER BY level, CASE WHEN level = 0 THEN -seq END NULLS FIRST, min, seq) - 1 AS prec FROM g WHERE max >= 30 AND min < 40)"""
+
+ORACLE = {
+    "resolve_set_bottom": _ALL.format(more=""),
+    "range_iter": _ALL.format(more="AND user_id >= 20 AND user_id < 60"),
+    "resolve_set_partial": "WITH " + _HISTORY.format(where="WHERE event_id % 7 = 0") + """,
+s AS (SELECT user_id, string_agg(CAST(m AS VARCHAR), ',' ORDER BY m) FILTER (WHERE event_type <> 'view') AS a, string_agg(CAST(m AS VARCHAR), ',' ORDER BY m) FILTER (WHERE event_type = 'view') AS r FROM lastm WHERE rn = 1 GROUP BY user_id),
+g AS (SELECT user_id, bool_or(kind = 3) AS ops, bool_or(kind = 1) AS base, bool_or(kind = 2) AS dead FROM live GROUP BY user_id),
+k AS (SELECT g.user_id, CASE WHEN NOT ops THEN CASE WHEN base THEN 1 ELSE 2 END WHEN NOT base AND NOT dead THEN 3 WHEN a IS NOT NULL THEN 1 ELSE 2 END AS kind, a, r FROM g LEFT JOIN s USING (user_id))
+SELECT user_id, kind, CASE WHEN kind = 2 THEN '' ELSE coalesce(a, '') END AS added, CASE WHEN kind = 3 THEN coalesce(r, '') ELSE '' END AS removed FROM k""",
+    "lww_put_delete": f"SELECT user_id, event_id, event_type FROM {_TOP} WHERE rn = 1 AND kind = 1",
+    "tombstones_kept": f"SELECT user_id, kind, event_id FROM {_TOP} WHERE rn = 1",
+    "merge_all_versions": f"SELECT user_id, event_id, kind, rn - 1 AS prec FROM {_TOP}",
+    "merge_runs": f"SELECT user_id, event_id, kind, 2 - event_id % 3 AS prec FROM {_TOP}",
+    "seek_page": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey >= 1000 ORDER BY o_orderkey LIMIT 50",
+    "point_get": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 42",
+    "multi_get": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
+    "locate_large": "SELECT doc_id, octet_length(encode(text)) AS n_bytes, octet_length(encode(text)) >= 4096 AS large FROM documents",
+    "flush_batches": f"WITH {_FLUSHED} SELECT user_id, seq, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS rn FROM f) WHERE rn = 1 AND kind = 1",
+    "table_meta": f"WITH {_FLUSHED} SELECT seq, count(*) AS count, count(*) FILTER (WHERE kind = 2) AS deletes, min(user_id) AS min, max(user_id) AS max FROM f GROUP BY seq",
+    "files_overlapping": f"{_OVERLAPPING} SELECT level, seq, min, max, prec FROM p",
+    "signature": f"{_OVERLAPPING} SELECT sha256(coalesce(string_agg('f' || seq, chr(10) ORDER BY prec), '')) AS signature FROM p",
+    "runs_by_space": f"WITH {_FLUSHED} SELECT user_id % 4 AS space, seq, count(*) AS entries, count(*) FILTER (WHERE kind = 2) AS deletes FROM f GROUP BY ALL",
+    "compact_then_read": "WITH " + _HISTORY.format(where="WHERE event_id >= 4000 OR event_id % 2 = 0") + " " + _BOTTOM.format(more=""),
+    "duplicate_key_history": """SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, n_versions FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n_versions,
+    row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC, l_discount DESC, l_tax DESC, l_returnflag DESC, l_linestatus DESC) AS rn FROM lineitem) WHERE rn = 1""",
+    "keyenc_string": "SELECT c_custkey, hex(encode(c_name)) || '0000' AS key, c_name AS name FROM customer",
+    "prefix_end": "SELECT p_partkey, hex(encode(left(p_name, 2) || chr(ascii(substring(p_name, 3, 1)) + 1))) AS upper_bound FROM part",
+    "postings_rows": r"SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS total FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS term FROM documents) WHERE term <> '' GROUP BY term",
+    "set_union_except": """WITH h AS (SELECT user_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS m FROM events),
+a AS (SELECT DISTINCT user_id, m FROM h WHERE event_type IN ('signup','purchase','click')), r AS (SELECT DISTINCT user_id, m FROM h WHERE event_type = 'view'),
+u AS (SELECT user_id, string_agg(CAST(m AS VARCHAR), ',' ORDER BY m) AS either FROM (SELECT * FROM a UNION SELECT * FROM r) GROUP BY user_id),
+x AS (SELECT user_id, string_agg(CAST(m AS VARCHAR), ',' ORDER BY m) AS only_added FROM (SELECT * FROM a EXCEPT SELECT * FROM r) GROUP BY user_id)
+SELECT user_id, coalesce(either, '') AS either, coalesce(only_added, '') AS only_added FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN u USING (user_id) LEFT JOIN x USING (user_id)""",
+    "fold_sum": """WITH h AS (SELECT user_id, event_id, CASE WHEN event_type IN ('signup','purchase') THEN 1 WHEN event_type = 'error' THEN 2 ELSE 3 END AS kind FROM events),
+t AS (SELECT *, max(CASE WHEN kind <> 3 THEN event_id END) OVER (PARTITION BY user_id) AS term FROM h), l AS (SELECT * FROM t WHERE term IS NULL OR event_id >= term)
+SELECT user_id, CAST(sum(CASE WHEN kind <> 2 THEN event_id % 100 ELSE 0 END) AS BIGINT) AS value FROM l GROUP BY user_id HAVING bool_or(kind <> 2)""",
+}
+
+QUERIES = {f.__name__: f for f in (
+    resolve_set_bottom, resolve_set_partial, lww_put_delete, tombstones_kept, merge_all_versions, merge_runs, range_iter, seek_page, point_get, multi_get, locate_large, flush_batches, table_meta, files_overlapping,
+    signature, runs_by_space, compact_then_read, duplicate_key_history, keyenc_string, keyenc_double, prefix_end, postings_rows, set_union_except, fold_sum,
+)}
