@@ -5,16 +5,18 @@ value). Rounds stop when no bin is empty, for most texts after one or two. Round
 i - t, so each coordinate fills whatever the set. Two sets agree in a coordinate with probability equal to their Jaccard
 similarity, with concentration as for t independent samples.
 
-Bands: 40 bands of 6 coordinates. A pair of similarity 0.85 is missed by all with probability 6e-9, one of 0.8 with 5e-6; texts
-that share a passage and little else (similarity 0.2) meet in a band with probability 6e-5. Pairs whose sizes alone rule out the
-similarity are dropped before any text moves.
+Bands: 32 bands of 6 coordinates. A pair of similarity 0.85 is missed by all with probability 3e-7, one of 0.8 with 6e-5; texts
+that share a passage and little else (similarity 0.2) meet in a band with probability 6e-5.
+
+Before any text moves, pairs are dropped whose sizes rule out the similarity, or whose sketches do: the lowest bits of all coordinates
+agree in a share of (1 + similarity) / 2, and a pair more than six standard deviations below (probability about 1e-9) is no candidate.
 
 Copies (equal sets) collapse to their smallest id first. In each bucket every text is compared with one hub, the smallest.
-What linked texts leave over goes on: in a bucket with several components left, all pairs between them if few texts are left, else
-some new hubs each round against all others, until no two texts of different components are left unconfirmed. So no link
+What linked texts leave over goes on: in a bucket with several components left, all candidates between them if at most `few` texts are
+left, else those of some new hubs each round, until no two texts of different components are left unconfirmed. So no link
 is lost to a cap, and a bucket of m copies costs m comparisons.
 
-Scale: shuffles carry band keys (40 a distinct text), pairs, and the text of documents that are in a pair. A hub's partners are dealt
+Scale: shuffles carry band keys (32 a distinct text), pairs, and the text of documents that are in a pair. A hub's partners are dealt
 over salts of about `per_salt` rows, with the hub's text copied to each. The driver sees counts only.
 """
 
@@ -31,7 +33,7 @@ from palimpsest.llm.common import narrow, slices, written
 from palimpsest.llm.components import components
 
 SHINGLE = 5
-BANDS, ROWS = 40, 6
+BANDS, ROWS = 32, 6
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -114,13 +116,26 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
+def low_bits(sketch: np.ndarray) -> np.ndarray:
+    """The lowest bit of each coordinate, 64 to a word."""
+    bits = np.packbits((sketch & _U(1)).astype(np.uint8), axis=1)
+    return np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).copy().view(np.int64)
+
+
+def most_differing(t: int, percent: int) -> int:
+    """The number of differing bits of t that a pair of this similarity has at most, but for six standard deviations."""
+    p = (1 + percent / 100) / 2
+    return t - int(t * p - 6 * (t * p * (1 - p)) ** 0.5)
+
+
 def _sketched(size: int, bands: int, rows: int):
     def run(batches):
         for batch in slices(batches, 256):
             sets = shingle_sets(batch.column("text").to_pylist(), size)
-            keys = band_keys(sketches(sets, bands * rows), bands, rows).astype(np.int64)
+            drawn = sketches(sets, bands * rows)
+            keys, bits = band_keys(drawn, bands, rows).astype(np.int64), low_bits(drawn)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * bands + 1, bands, dtype=np.int32)), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "digest": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), "bands": keys})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "digest": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), "bands": keys, "bits": pa.array(bits.tolist(), pa.list_(pa.int64()))})
 
     return run
 
@@ -170,7 +185,7 @@ def confirmed(texts: DataFrame, pairs: DataFrame, size: int, percent: int, per_s
     return ready.mapInArrow(_confirm(size, percent), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SHINGLE, percent: int = 80, bands: int = BANDS, rows: int = ROWS, per_salt: int = 64, few: int = 32, hubs: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SHINGLE, percent: int = 80, bands: int = BANDS, rows: int = ROWS, per_salt: int = 64, few: int = 512, hubs: int = 256) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when 100 * intersection >= percent * union of their sets of shingles (`size` words); component_id
@@ -179,30 +194,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts are linked each by its own text. A null id is linked with nothing, has a null component_id and is kept. Ids are integers.
     """
     texts = narrow(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    sketched = written(texts.mapInArrow(_sketched(size, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>"))
-    classes = written(sketched.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands"), "doc_id").alias("x")).select("digest", F.col("x.doc_id").alias("id"), F.col("x.n_shingles").alias("n_own"), F.col("x.bands").alias("bands")))
-    placed = classes.select("id", "n_own", F.explode("bands").alias("key"))
-    buckets = written(placed.groupBy("key").agg(F.min(F.struct("id", "n_own")).alias("x"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("x.id").alias("hub"), F.col("x.n_own").alias("n_hub"), "n"))
-    member, sizes = F.col("id") != F.col("hub"), 100 * F.least("n_own", "n_hub") >= percent * F.greatest("n_own", "n_hub")
-    pairs = written(placed.join(buckets, "key").filter(member & sizes).select("hub", "id").distinct())
+    sketched = written(texts.mapInArrow(_sketched(size, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>"))
+    classes = written(sketched.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands", "bits"), "doc_id").alias("x")).select("digest", F.col("x.doc_id").alias("id"), F.col("x.n_shingles").alias("n_shingles"), F.col("x.bands").alias("bands"), F.col("x.bits").alias("bits")))
+    placed = classes.select("id", F.explode("bands").alias("key"))
+    buckets = written(placed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1"))
+    members = written(placed.join(buckets, "key").filter("id != hub").select("key", "hub", "id", "n"))
+    sketch = lambda k: classes.select(F.col("id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("bits").alias(f"b_{k}"))
+    differing = sum((F.bit_count(F.get("b_id", w).bitwiseXOR(F.get("b_hub", w))) for w in range(-(-bands * rows // 64))), F.lit(0))
+    near = (100 * F.least("n_id", "n_hub") >= percent * F.greatest("n_id", "n_hub")) & (differing <= most_differing(bands * rows, percent))
+    pairs = written(members.select("hub", "id").distinct().join(sketch("id"), "id").join(sketch("hub"), "hub").filter(near).select("hub", "id"))
     edges = written(confirmed(texts, pairs, size, percent, per_salt))
     found = written(components(edges))
-    left = placed.join(buckets.filter("n > 2"), "key").filter(member).select("key", "id", "n_own")
-    n = 0
+    left, n = members.filter("n > 2").select("key", "id"), 0
     while True:
         n += 1
-        label = found.withColumnRenamed("node", "id")
-        left = written(left.join(label, "id", "left").select("key", "id", "n_own", F.coalesce("component", "id").alias("component")))
+        left = left.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        left = written(left)
         open_ = left.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key", "n")
         left = written(left.join(open_, "key"))
         if left.isEmpty():
             break
+        drawn = left.join(sketch("id"), "id")
         is_hub = (F.col("n") <= few) | (F.pmod(F.xxhash64("id", "key", F.lit(n)), F.ceil(F.col("n") / hubs)) == 0)
-        heads = left.filter(is_hub).select("key", F.col("id").alias("hub"), F.col("n_own").alias("n_hub"), F.col("component").alias("other"))
-        more = left.join(heads, "key").filter(F.expr(f"component != other and (id > hub or n > {few})") & sizes).select("hub", "id").distinct()
-        edges = written(edges.unionByName(written(confirmed(texts, written(more), size, percent, per_salt))))
+        heads = drawn.filter(is_hub).select("key", F.col("id").alias("hub"), F.col("n_id").alias("n_hub"), F.col("b_id").alias("b_hub"), F.col("component").alias("other"))
+        across = (drawn["key"] == heads["key"]) & F.expr(f"component != other and (id > hub or n > {few})") & near
+        more = written(drawn.join(heads, across).select("hub", "id").distinct())
+        edges = written(edges.unionByName(written(confirmed(texts, more, size, percent, per_salt))))
         found = written(components(edges))
-        left = left.filter(~is_hub).select("key", "id", "n_own")
+        left = left.filter(~is_hub).select("key", "id")
     label = classes.select("digest", "id").join(found, F.col("id") == F.col("node"), "left").select(F.col("digest").alias("of"), F.coalesce("component", "id").alias("component"))
     out = sketched.select("doc_id", "n_shingles", "digest").join(label, (F.col("digest") == F.col("of")) & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), "left")
     component = F.coalesce("component", "doc_id")
