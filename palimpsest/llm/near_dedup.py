@@ -11,10 +11,10 @@ that share a passage and little else (similarity 0.2) meet in a band with probab
 Before any text moves, pairs are dropped whose sizes rule out the similarity, or whose sketches do: the lowest bits of all coordinates
 agree in a share of (1 + similarity) / 2, and a pair more than six standard deviations below (probability about 1e-9) is no candidate.
 
-Copies (equal sets) collapse to their smallest id first. In each bucket every text is compared with one hub, the smallest.
-What linked texts leave over goes on: in a bucket with several components left, all candidates between them if at most `few` texts are
-left, else those of some new hubs each round, until no two texts of different components are left unconfirmed. So no link
-is lost to a cap, and a bucket of m copies costs m comparisons.
+Copies (equal sets) collapse to their smallest id first. In each bucket every text is compared with one hub, the smallest, so a bucket of m
+copies costs m comparisons. Where a bucket then still has several components, its texts that have a candidate in another one are
+compared exactly, in blocks of `block` texts: each pair of blocks is one group of at most 2 * block rows, whose intersections are one matrix product,
+and which returns a forest of the links, never the pairs. So no link is lost to a cap.
 
 Scale: shuffles carry band keys (32 a distinct text), pairs, and the text of documents that are in a pair. A hub's partners are dealt
 over salts of about `per_salt` rows, with the hub's text copied to each. The driver sees counts only.
@@ -172,7 +172,7 @@ def confirmed(texts: DataFrame, pairs: DataFrame, size: int, percent: int, per_s
     hubs = pairs.groupBy("hub").agg(F.ceil(F.count("*") / per_salt).cast("int").alias("salts"))
     mine = pairs.groupBy("id").agg(F.collect_set("hub").alias("hubs"))  # bounded by bands and hubs a round
     roles = mine.join(hubs, F.col("id") == F.col("hub"), "full").select(F.coalesce("id", "hub").alias("id"), "hubs", "salts")
-    found = texts.join(roles, F.col("doc_id") == F.col("id")).select("id", "hubs", "salts", F.coalesce("text", F.lit("")).alias("text"))
+    found = texts.join(roles.hint("merge"), F.col("doc_id") == F.col("id")).select("id", "hubs", "salts", F.coalesce("text", F.lit("")).alias("text"))
     as_hub = F.when(F.col("salts").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda s: F.struct(F.col("id").alias("hub"), s.alias("salt"))))
     none = F.array().cast("array<struct<hub: bigint, salt: int>>")
     as_own = F.transform("hubs", lambda h: F.struct(h.alias("hub"), F.lit(None).cast("int").alias("salt")))
@@ -185,7 +185,73 @@ def confirmed(texts: DataFrame, pairs: DataFrame, size: int, percent: int, per_s
     return ready.mapInArrow(_confirm(size, percent), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SHINGLE, percent: int = 80, bands: int = BANDS, rows: int = ROWS, per_salt: int = 64, few: int = 512, hubs: int = 256) -> DataFrame:
+def links(sets: list[np.ndarray], percent: int, columns: int = 4096) -> list[tuple[int, int]]:
+    """A forest over the numbers of all sets, with an edge for each two trees that some pair of alike sets joins."""
+    of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = n > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[at]
+    of, at = of[keep], place[at[keep]]
+    order = np.argsort(at, kind="stable")
+    of, at = of[order], at[order]
+    both = np.zeros((len(sets), len(sets)), np.float64)
+    for low in range(0, int(shared.sum()), columns):
+        part = slice(*np.searchsorted(at, [low, low + columns]))
+        m = np.zeros((len(sets), columns), np.float32)
+        m[of[part], at[part] - low] = 1
+        both += m @ m.T
+    size = np.array([len(x) for x in sets], np.float64)
+    root, out = list(range(len(sets))), []
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in zip(*np.nonzero(np.triu(100 * both >= percent * (size[:, None] + size[None] - both), 1)), strict=True):
+        if (p := find(int(x))) != (q := find(int(y))):
+            root[q] = p
+            out.append((int(x), int(y)))
+    return out
+
+
+def _linked(size: int, percent: int):
+    """Rows (key, a, b, id, text) sorted by key and pair of blocks; yields the edges of each group's forest."""
+
+    def run(batches):
+        now, ids, texts = None, [], []
+
+        def done():
+            found = links(shingle_sets(texts, size), percent) if len(ids) > 1 else []
+            pairs = [(ids[x], ids[y]) for x, y in found if ids[x] != ids[y]]
+            return pa.RecordBatch.from_pydict({"u": pa.array([max(p) for p in pairs], pa.int64()), "v": pa.array([min(p) for p in pairs], pa.int64())})
+
+        for batch in slices(batches, 128):
+            for row in batch.to_pylist():
+                group = (row["key"], row["a"], row["b"])
+                if group != now:
+                    yield done()
+                    now, ids, texts = group, [], []
+                ids.append(row["id"])
+                texts.append(row["text"])
+        yield done()
+
+    return run
+
+
+def in_blocks(texts: DataFrame, members: DataFrame, size: int, percent: int, block: int) -> DataFrame:
+    """Edges (u, v) that join all members (key, id, n) of a key that are alike, n being the key's number of members."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int")
+    to = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("own"), o).alias("a"), F.greatest(F.col("own"), o).alias("b"))))
+    dealt = members.withColumn("blocks", blocks).withColumn("own", own).select("id", "key", to.alias("to")).groupBy("id").agg(F.collect_list(F.struct("key", "to.a", "to.b")).alias("places"))
+    ready = texts.join(dealt.hint("merge"), F.col("doc_id") == F.col("id")).select("id", F.coalesce("text", F.lit("")).alias("text"), F.explode("places").alias("x")).select("x.key", "x.a", "x.b", "id", "text")
+    return ready.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "id").mapInArrow(_linked(size, percent), "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SHINGLE, percent: int = 80, bands: int = BANDS, rows: int = ROWS, per_salt: int = 64, block: int = 256) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when 100 * intersection >= percent * union of their sets of shingles (`size` words); component_id
@@ -205,23 +271,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = written(members.select("hub", "id").distinct().join(sketch("id"), "id").join(sketch("hub"), "hub").filter(near).select("hub", "id"))
     edges = written(confirmed(texts, pairs, size, percent, per_salt))
     found = written(components(edges))
-    left, n = members.filter("n > 2").select("key", "id"), 0
-    while True:
-        n += 1
-        left = left.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        left = written(left)
-        open_ = left.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key", "n")
-        left = written(left.join(open_, "key"))
-        if left.isEmpty():
-            break
-        drawn = left.join(sketch("id"), "id")
-        is_hub = (F.col("n") <= few) | (F.pmod(F.xxhash64("id", "key", F.lit(n)), F.ceil(F.col("n") / hubs)) == 0)
-        heads = drawn.filter(is_hub).select("key", F.col("id").alias("hub"), F.col("n_id").alias("n_hub"), F.col("b_id").alias("b_hub"), F.col("component").alias("other"))
-        across = (drawn["key"] == heads["key"]) & F.expr(f"component != other and (id > hub or n > {few})") & near
-        more = written(drawn.join(heads, across).select("hub", "id").distinct())
-        edges = written(edges.unionByName(written(confirmed(texts, more, size, percent, per_salt))))
+    left = members.filter("n > 2").select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    left = written(left)
+    open_ = left.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key")
+    drawn = written(left.join(open_, "key").join(sketch("id"), "id"))
+    other = drawn.select("key", F.col("id").alias("hub"), F.col("n_id").alias("n_hub"), F.col("b_id").alias("b_hub"), F.col("component").alias("other"))
+    unsure = drawn.join(other, (drawn["key"] == other["key"]) & (drawn["component"] != other["other"]) & near, "left_semi").select("key", "id")
+    unsure = written(unsure)
+    if not unsure.isEmpty():
+        sized = unsure.join(unsure.groupBy("key").agg(F.count("*").alias("n")), "key")
+        edges = written(edges.unionByName(written(in_blocks(texts, sized, size, percent, block))))
         found = written(components(edges))
-        left = left.filter(~is_hub).select("key", "id")
     label = classes.select("digest", "id").join(found, F.col("id") == F.col("node"), "left").select(F.col("digest").alias("of"), F.coalesce("component", "id").alias("component"))
     out = sketched.select("doc_id", "n_shingles", "digest").join(label, (F.col("digest") == F.col("of")) & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), "left")
     component = F.coalesce("component", "doc_id")

@@ -89,8 +89,8 @@ def test_near_duplicates(spark, docs, none):
         rows.append((i, " ".join(base)))
     label, n = brute_components(rows, 85)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for few in (512, 2):  # the second sends larger buckets through rounds of hubs
-        got = near_dedup.near_duplicates(df, percent=85, few=few, hubs=2).collect()
+    for block in (256, 2):  # the second compares larger buckets in many blocks
+        got = near_dedup.near_duplicates(df, percent=85, block=block).collect()
         assert {r.doc_id: (r.component_id, r.n_shingles) for r in got if r.doc_id is not None} == {i: (label[i], n[i]) for i in n}
         assert len(got) == len(rows)
     assert near_dedup.near_duplicates(none).collect() == []
