@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: First byte of a coded list (fixed value).
+VERSION = 1
+
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(term, docnum, weight): how often each lower-case word stands in each text."""
@@ -16,3 +21,49 @@ def gather(rows: DataFrame, block: int = 1 << 16) -> DataFrame:
     """(term, block, list): arrays of (docnum, weight) by docnum, at most `block` documents each, however common the term."""
     at = F.floor(F.col("docnum") / block).alias("block")
     return rows.groupBy("term", at).agg(F.array_sort(F.collect_list(F.struct("docnum", "weight"))).alias("list"))
+
+
+def _varint(n: int) -> bytes:
+    """Seven bits a byte from the lowest, the top bit set on all but the last."""
+    low = [n >> at & 127 for at in range(0, max(n.bit_length(), 1), 7)]
+    return bytes([*(b | 128 for b in low[:-1]), low[-1]])
+
+
+def encode_list(rows) -> bytes | None:
+    """Version, number of postings, then for each the step from the docnum before (modulo 2**64) and the weight; null for null."""
+    if rows is None:
+        return None
+    numbers, last = [len(rows)], 0
+    for docnum, weight in rows:
+        numbers += [(int(docnum) - last) % 2**64, int(weight)]
+        last = int(docnum)
+    return bytes([VERSION]) + b"".join(map(_varint, numbers))
+
+
+def decode_list(data: bytes | None) -> list[tuple[Decimal, int]] | None:
+    """What encode_list was given; an error for anything else."""
+    if data is None:
+        return None
+    numbers, value, bits = [], 0, 0
+    for b in data[1:]:
+        value, bits = value | (b & 127) << bits, bits + 7
+        if b < 128:
+            numbers.append(value)
+            value = bits = 0
+    if data[:1] != bytes([VERSION]) or bits or not numbers or len(numbers) != 2 * numbers[0] + 1 or max(numbers) >= 2**64:
+        raise ValueError("CORRUPT: not a coded posting list")
+    out, docnum = [], 0
+    for step, weight in zip(numbers[1::2], numbers[2::2], strict=True):
+        docnum = (docnum + step) % 2**64
+        out.append((Decimal(docnum), weight))
+    return out
+
+
+def encode(rows: Column) -> Column:
+    """Arrays of (docnum, weight) as bytes; transfer is by Arrow batches."""
+    return F.udf(encode_list, "binary", useArrow=True)(rows)
+
+
+def decode(data: Column) -> Column:
+    """Bytes back as arrays of (docnum, weight)."""
+    return F.udf(decode_list, "array<struct<docnum: decimal(20,0), weight: bigint>>", useArrow=True)(data)

@@ -26,3 +26,25 @@ def newest_first(files: DataFrame) -> DataFrame:
 def signature(files: DataFrame, name: str = "name") -> DataFrame:
     """One row: a digest of the names in order of precedence. It changes if and only if the list of files does."""
     return files.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("prec", name))), lambda x: x[name]), "\n"), 256).alias("signature"))
+
+
+def apply_edit(files: DataFrame, deleted: DataFrame, added: DataFrame, name: str = "name") -> DataFrame:
+    """The files after an edit: those not deleted, and those added. A deleted name that is not there is ignored; a moved file is in both."""
+    return files.join(deleted.select(name), name, "left_anti").unionByName(added)
+
+
+def touching(files: DataFrame) -> DataFrame:
+    """Files (level, min, max) of levels from 1 on whose keys meet or touch those of the file before them: no sound list has any. One row a file, not a key."""
+    before = F.max("max").over(Window.partitionBy("level").orderBy("min", "max").rowsBetween(Window.unboundedPreceding, -1))
+    return files.filter("level >= 1").withColumn("before", before).filter("before >= min")
+
+
+def job_overlap(inputs: DataFrame, deeper: DataFrame) -> DataFrame:
+    """Files of `deeper` (space, min, max) that a merge of the inputs rewrites: those that meet the range of all inputs of their space, with it as lo and hi."""
+    hull = inputs.groupBy("space").agg(F.min("min").alias("lo"), F.max("max").alias("hi"))
+    return deeper.join(hull, "space").filter("max >= lo and min <= hi")
+
+
+def worth_cleaning(spaces: DataFrame, ratio: float) -> DataFrame:
+    """Spaces (runs, entries, deletes) of several runs with at least `ratio` deletes to each entry that is none."""
+    return spaces.filter((F.col("runs") > 1) & (F.col("deletes") > 0) & (F.col("deletes") >= F.lit(ratio) * (F.col("entries") - F.col("deletes"))))

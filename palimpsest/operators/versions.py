@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 PUT, DELETE, MERGE = 1, 2, 3
 
 
+def entry_errors(entries: DataFrame, key: str = "key") -> DataFrame:
+    """(key, entries, unknown) of keys that no flush takes: null ones, ones with several entries, and ones with an entry of unknown kind."""
+    each = entries.groupBy(key).agg(F.count("*").alias("entries"), F.count_if(~F.coalesce(F.col("kind"), F.lit(0)).isin(PUT, DELETE, MERGE)).alias("unknown"))
+    return each.filter(F.col(key).isNull() | (F.col("entries") > 1) | (F.col("unknown") > 0))
+
+
 def merge_runs(runs: list[DataFrame]) -> DataFrame:
     """All versions of several runs, newest run first, each with its precedence."""
     return reduce(DataFrame.unionByName, [run.withColumn("prec", F.lit(k)) for k, run in enumerate(runs)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions import keys
-from palimpsest.functions.postings import postings
+from palimpsest.functions.postings import decode, encode, gather, postings
 from palimpsest.operators import files, reads, versions
 
 BATCH = 500
@@ -144,6 +144,48 @@ def postings_rows(spark, sf_dir):
     return postings(_table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("weight").alias("total"))
 
 
+def postings_coded(spark, sf_dir):
+    """Lists written as bytes and read back: the same counts as of the rows."""
+    lists = gather(postings(_table(spark, sf_dir, "documents"), "doc_id", "text")).select("term", encode(F.col("list")).alias("data"))
+    back = lists.select("term", F.explode(decode(F.col("data"))).alias("x"))
+    return back.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("x.weight").alias("total"))
+
+
+def entry_errors(spark, sf_dir):
+    return versions.entry_errors(_plain(spark, sf_dir), "user_id")
+
+
+def _placed(spark, sf_dir, *by):
+    level = (F.col("seq") % 3).cast("long").alias("level")
+    e = _flushed(spark, sf_dir).withColumn("space", (F.col("user_id") % 4).cast("long")).groupBy("seq", *by)
+    return e.agg(F.count("*").alias("count"), F.count_if(F.col("kind") == 2).alias("deletes"), F.min("user_id").alias("min"), F.max("user_id").alias("max")).select("*", level)
+
+
+def apply_edit(spark, sf_dir):
+    """Every fifth table moved to level 4."""
+    now = _placed(spark, sf_dir)
+    moved = now.filter("seq % 5 = 0")
+    return files.apply_edit(now, moved, moved.withColumn("level", F.lit(4).cast("long")), "seq").select("seq", "level", "count")
+
+
+def level_sizes(spark, sf_dir):
+    return _placed(spark, sf_dir).groupBy("level").agg(F.count("*").alias("tables"), F.sum("count").alias("entries"), F.sum("deletes").alias("deletes"))
+
+
+def touching_tables(spark, sf_dir):
+    return files.touching(_placed(spark, sf_dir)).select("level", "seq", "min", "before")
+
+
+def job_overlap(spark, sf_dir):
+    f = _placed(spark, sf_dir, "space")
+    return files.job_overlap(f.filter("level = 0"), f.filter("level = 1")).select("space", "seq", "lo", "hi")
+
+
+def worth_cleaning(spark, sf_dir):
+    spaces = _placed(spark, sf_dir, "space").groupBy("space").agg(F.count("*").alias("runs"), F.sum("count").alias("entries"), F.sum("deletes").alias("deletes"))
+    return files.worth_cleaning(spaces, 0.2)
+
+
 def set_union_except(spark, sf_dir):
     e = history(spark, sf_dir).groupBy("user_id").agg(F.array_distinct(F.flatten(F.collect_list("add"))).alias("a"), F.array_distinct(F.flatten(F.collect_list("rem"))).alias("r"))
     return e.select("user_id", _text(F.array_sort(F.array_union("a", "r"))).alias("either"), _text(F.array_sort(F.array_except("a", "r"))).alias("only_added"))
@@ -172,6 +214,8 @@ _TOP = "(SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DES
 _OVERLAPPING = f"""WITH {_FLUSHED}, g AS (SELECT seq % 3 AS level, seq, min(user_id) AS min, max(user_id) AS max FROM f WHERE event_id % 50 = 0 GROUP BY seq),
 p AS (SELECT *, row_number() OVER (ORDER BY level, CASE WHEN level = 0 THEN -seq END NULLS FIRST, min, seq) - 1 AS prec FROM g WHERE max >= 30 AND min < 40)"""
 
+_POSTINGS = r"SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS total FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS term FROM documents) WHERE term <> '' GROUP BY term"
+
 ORACLE = {
     "resolve_set_bottom": _ALL.format(more=""),
     "range_iter": _ALL.format(more="AND user_id >= 20 AND user_id < 60"),
@@ -198,7 +242,17 @@ SELECT user_id, kind, CASE WHEN kind = 2 THEN '' ELSE coalesce(a, '') END AS add
     row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC, l_discount DESC, l_tax DESC, l_returnflag DESC, l_linestatus DESC) AS rn FROM lineitem) WHERE rn = 1""",
     "keyenc_string": "SELECT c_custkey, hex(encode(c_name)) || '0000' AS key, c_name AS name FROM customer",
     "prefix_end": "SELECT p_partkey, hex(encode(left(p_name, 2) || chr(ascii(substring(p_name, 3, 1)) + 1))) AS upper_bound FROM part",
-    "postings_rows": r"SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS total FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS term FROM documents) WHERE term <> '' GROUP BY term",
+    "postings_rows": _POSTINGS,
+    "postings_coded": _POSTINGS,
+    "entry_errors": "SELECT user_id, count(*) AS entries, 0 AS unknown FROM events GROUP BY user_id HAVING count(*) > 1 OR user_id IS NULL",
+    "apply_edit": f"WITH {_FLUSHED} SELECT seq, CASE WHEN seq % 5 = 0 THEN 4 ELSE seq % 3 END AS level, count(*) AS count FROM f GROUP BY seq",
+    "level_sizes": f"WITH {_FLUSHED} SELECT seq % 3 AS level, count(DISTINCT seq) AS tables, count(*) AS entries, count(*) FILTER (WHERE kind = 2) AS deletes FROM f GROUP BY ALL",
+    "touching_tables": f"""WITH {_FLUSHED}, g AS (SELECT seq % 3 AS level, seq, min(user_id) AS min, max(user_id) AS max FROM f WHERE seq % 3 > 0 GROUP BY seq)
+SELECT * EXCLUDE (max) FROM (SELECT *, max(max) OVER (PARTITION BY level ORDER BY min, max ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM g) WHERE before >= min""",
+    "job_overlap": f"""WITH {_FLUSHED}, g AS (SELECT user_id % 4 AS space, seq, min(user_id) AS min, max(user_id) AS max FROM f GROUP BY ALL)
+SELECT g.space, seq, lo, hi FROM g JOIN (SELECT space, min(min) AS lo, max(max) AS hi FROM g WHERE seq % 3 = 0 GROUP BY space) USING (space) WHERE seq % 3 = 1 AND max >= lo AND min <= hi""",
+    "worth_cleaning": f"""WITH {_FLUSHED} SELECT user_id % 4 AS space, count(DISTINCT seq) AS runs, count(*) AS entries, count(*) FILTER (WHERE kind = 2) AS deletes FROM f GROUP BY 1
+HAVING count(DISTINCT seq) > 1 AND count(*) FILTER (WHERE kind = 2) > 0 AND count(*) FILTER (WHERE kind = 2) >= 0.2 * count(*) FILTER (WHERE kind <> 2)""",
     "set_union_except": """WITH h AS (SELECT user_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS m FROM events),
 a AS (SELECT DISTINCT user_id, m FROM h WHERE event_type IN ('signup','purchase','click')), r AS (SELECT DISTINCT user_id, m FROM h WHERE event_type = 'view'),
 u AS (SELECT user_id, string_agg(CAST(m AS VARCHAR), ',' ORDER BY m) AS either FROM (SELECT * FROM a UNION SELECT * FROM r) GROUP BY user_id),
@@ -212,4 +266,5 @@ SELECT user_id, CAST(sum(CASE WHEN kind <> 2 THEN event_id % 100 ELSE 0 END) AS
 QUERIES = {f.__name__: f for f in (
     resolve_set_bottom, resolve_set_partial, lww_put_delete, tombstones_kept, merge_all_versions, merge_runs, range_iter, seek_page, point_get, multi_get, locate_large, flush_batches, table_meta, files_overlapping,
     signature, runs_by_space, compact_then_read, duplicate_key_history, keyenc_string, keyenc_double, prefix_end, postings_rows, set_union_except, fold_sum,
+    postings_coded, entry_errors, apply_edit, level_sizes, touching_tables, job_overlap, worth_cleaning,
 )}

@@ -67,3 +67,14 @@ def test_flush_and_read_back(spark, tmp_path):
     assert sorted((bytes(r["key"]), r["value"]) for r in got.collect()) == [(b"b", "2"), (b"c", "3")]
     with pytest.raises(Exception, match="BAD_ENTRY"):
         flush(old.union(old), f"{tmp_path}/3")
+
+
+def test_posting_lists_as_bytes():
+    from palimpsest.functions.postings import decode_list, encode_list
+
+    assert encode_list([(3, 4), (131, 5)]) == bytes([1, 2, 3, 4, 128, 1, 5])
+    for rows in ([], [(2**64 - 1, 2**32 - 1)], [(9, 1), (2, 7), (2, 7)], None):
+        assert decode_list(encode_list(rows)) == rows
+    for bad in (b"", b"\x01", b"\x02\x00", b"\x01\x01\x03", b"\x01\x00\x00", b"\x01\x01\x03\x84"):
+        with pytest.raises(ValueError, match="CORRUPT"):
+            decode_list(bad)
