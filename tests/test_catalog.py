@@ -28,6 +28,15 @@ def test_matches_sql(spark, db, name):
     assert rows(catalog.QUERIES[name](spark, DATA).toPandas()) == rows(db.sql(catalog.ORACLE[name]).df())
 
 
+def test_whole_jobs_take_all_events(spark, db):
+    for name in ("resolve_set_partial", "files_overlapping", "signature", "compact_then_read"):
+        assert "event_id %" not in catalog.ORACLE[f"{name}_whole"], name
+    got = catalog.QUERIES["compact_then_read_whole"](spark, DATA).toPandas()
+    assert rows(got) == rows(catalog.QUERIES["resolve_set_bottom"](spark, DATA).toPandas())
+    odd = db.sql("select count(*) from events where event_id < 4000 and event_id % 2 = 1").fetchall()[0][0]
+    assert odd > 0 and rows(got) != rows(catalog.QUERIES["compact_then_read"](spark, DATA).toPandas())
+
+
 def test_double_keys_sort_as_the_numbers(spark):
     from pyspark.sql import functions as F
 
