@@ -5,9 +5,9 @@ classes of equal size by rank; all other words form one rare class, inside which
 P(word) = P(class | state) * P(word | class, state), and the probabilities of all words, known or not, sum to one. The output biases
 start at the corpus counts: an untrained network scores exactly as the unigram base does.
 
-Training: truncated backpropagation in numpy on the executors, in rounds. Each task trains on its share of a fixed fraction of
-the training texts, and the weights are averaged by tokens; so the work grows with the corpus and what comes to the driver is one set of
-weights. Counts are taken over all training texts. Scoring: whole texts, many side by side, the state carried across windows.
+Training: truncated backpropagation in numpy on the executors, in rounds that share out all training texts. Each task trains on its part of
+a round's texts, and the weights are averaged by tokens; so the work grows with the corpus and what comes to the driver is one set of
+weights. The network's vocabulary grows with the corpus. Counts are taken over all training texts. Scoring: whole texts, many side by side, the state carried across windows.
 
 Scale: word counts are summed in tasks (a bounded table that is flushed) before they are shuffled. The `cache` most frequent words, at most
 MAX_WORD bytes each, are broadcast, so frequent words never meet in a shuffle; only the others are joined with the counts.
@@ -16,7 +16,8 @@ MAX_WORD bytes each, are broadcast, so frequent words never meet in a shuffle; o
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,12 @@ class Shape:
         return self.classes * self.per_class
 
 
+def grown(tokens: int, most: int) -> Shape:
+    """The shape for a corpus of so many tokens: as many words as the square root of the tokens, in more classes, up to `most` words."""
+    s = Shape()
+    return replace(s, classes=max(s.classes, min(isqrt(tokens), most) // s.per_class))
+
+
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
@@ -143,34 +150,43 @@ class Network:
 
     def output(self, h: np.ndarray, y: np.ndarray, grad: bool = False):
         """Natural log-probability of each token y (rank, or words for rare, without the share inside the rare class), and with grad
-        the gradients of the sum of negated ones."""
+        the gradients of the sum of negated ones; those of o and ob for the classes in use, which are its `used`."""
         s, w = self.shape, self.w
         cls = y // s.per_class
         p, lp = _softmax(h @ w["c"] + w["cb"], cls, grad)
         order = np.argsort(cls, kind="stable")
         bounds = np.searchsorted(cls[order], np.arange(s.classes + 1))
         h_in, y_in = h[order], y[order] % s.per_class
-        dh, g = None, {}
+        dh, g, in_use = None, {}, np.flatnonzero(np.diff(bounds))
         if grad:
             p[np.arange(len(y)), cls] -= 1
-            dh, g = p @ w["c"].T, {"c": h.T @ p, "cb": p.sum(0), "o": np.zeros_like(w["o"]), "ob": np.zeros_like(w["ob"])}
-        for k in range(s.classes):
+            dh, g = p @ w["c"].T, {"c": h.T @ p, "cb": p.sum(0), "o": np.empty((len(in_use), *w["o"].shape[1:]), np.float32), "ob": np.empty((len(in_use), s.per_class), np.float32), "used": in_use}
+        for at, k in enumerate(in_use):
             of = slice(bounds[k], bounds[k + 1])
             rows, hk, yk = order[of], h_in[of], y_in[of]
-            if not len(rows):
-                continue
             q, own = _softmax(hk @ w["o"][k] + w["ob"][k], yk, grad)
             lp[rows] += own
             if grad:
                 q[np.arange(len(rows)), yk] -= 1
                 dh[rows] += q @ w["o"][k].T
-                g["o"][k], g["ob"][k] = hk.T @ q, q.sum(0)
+                g["o"][at], g["ob"][at] = hk.T @ q, q.sum(0)
         return lp, dh, g
 
     def gradient(self, x: np.ndarray, reset: np.ndarray, live: np.ndarray, h0: np.ndarray):
         """Backpropagation through one window; the state that comes in counts as given. Returns the gradients and the state that goes out."""
+        g, rows, h = self.sparse_gradient(x, reset, live, h0)
+        for k, at in rows.items():
+            whole = np.zeros_like(self.w[k])
+            whole[at] = g[k]
+            g[k] = whole
+        return g, h
+
+    def sparse_gradient(self, x: np.ndarray, reset: np.ndarray, live: np.ndarray, h0: np.ndarray):
+        """As gradient, but of the words and classes in use alone; rows has their places by name."""
         n, w = self.shape.hidden, self.w
-        states, h, gates = self.steps(x, reset, h0, keep=True)
+        ids, own = np.unique(x, return_inverse=True)
+        own = own.reshape(x.shape)
+        states, h, gates = self.steps(own, reset, h0, keep=True, table=w["e"][ids] @ w["wx"] + w["b"])
         on = live.reshape(-1)
         dh_out = np.zeros((x.size, n), np.float32)
         _, part, g = self.output(states.reshape(-1, n)[on], x.reshape(-1)[on], grad=True)
@@ -189,9 +205,10 @@ class Network:
             dh = np.where(reset[t][:, None], np.float32(0), dh)
         flat = da_all.reshape(-1, 3 * n)
         used = w["e"][x.reshape(-1)]
-        g |= {"u": du, "wx": used.T @ flat, "b": flat.sum(0), "e": np.zeros_like(w["e"])}
-        np.add.at(g["e"], x.reshape(-1), flat @ w["wx"].T)
-        return g, h
+        g |= {"u": du, "wx": used.T @ flat, "b": flat.sum(0), "e": np.zeros((len(ids), self.shape.embed), np.float32)}
+        np.add.at(g["e"], own.reshape(-1), flat @ w["wx"].T)
+        in_use = g.pop("used")
+        return g, {"e": ids, "o": in_use, "ob": in_use}, h
 
 
 def _softmax(x: np.ndarray, y: np.ndarray, grad: bool):
@@ -250,13 +267,13 @@ def score_texts(net: Network, lex: Lexicon, codes: list[np.ndarray], width: int
 
 
 def train_texts(net: Network, lex: Lexicon, codes: list[np.ndarray], rate: float = 0.01, width: int = 32, steps: int = 24) -> int:
-    """One pass of Adam over the texts, in place; the number of tokens."""
+    """One pass of Adam over the texts, in place; the number of tokens. Words and classes outside a window keep their weights and moments in it."""
     first, second, step = {k: np.zeros_like(v) for k, v in net.w.items()}, {k: np.zeros_like(v) for k, v in net.w.items()}, 0
     low, h, seen = [np.where(c >= lex.n_words, -1, c) for c in codes], None, 0
     for some, x, reset, owner in windows(low, net.shape.words, width, steps):
         h = np.zeros((len(some), net.shape.hidden), np.float32) if h is None else h
         live = owner >= 0
-        g, h[some] = net.gradient(x, reset, live, h[some])
+        g, rows, h[some] = net.sparse_gradient(x, reset, live, h[some])
         n, step = int(live.sum()), step + 1
         seen += n
         norm = np.sqrt(sum(float((v * v).sum()) for v in g.values())) / n
@@ -264,9 +281,12 @@ def train_texts(net: Network, lex: Lexicon, codes: list[np.ndarray], rate: float
         fix = rate * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
         for k, v in g.items():
             v *= scale
-            first[k] += 0.1 * (v - first[k])
-            second[k] += 0.001 * (v * v - second[k])
-            net.w[k] -= fix * first[k] / (np.sqrt(second[k]) + 1e-7)
+            at = rows.get(k, slice(None))
+            a, b = first[k][at], second[k][at]
+            a += 0.1 * (v - a)
+            b += 0.001 * (v * v - b)
+            first[k][at], second[k][at] = a, b
+            net.w[k][at] -= fix * a / (np.sqrt(b) + 1e-7)
     return seen
 
 
@@ -283,6 +303,17 @@ def _trainer(shared, segment: int):
     return run
 
 
+def _averaged(batches):
+    """Each part of the weights, averaged over tasks by their tokens."""
+    total, weight = {}, Counter()
+    for batch in slices(batches, 512):
+        for part, tokens, x in zip(batch.column("part").to_pylist(), batch.column("tokens").to_pylist(), batch.column("x"), strict=True):
+            v = x.values.to_numpy() * np.float64(tokens)
+            total[part] = total[part] + v if part in total else v
+            weight[part] += tokens
+    yield pa.RecordBatch.from_pydict({"part": pa.array(list(total), pa.int32()), "x": pa.array([(v / weight[k]).astype(np.float32) for k, v in total.items()], pa.list_(pa.float32()))})
+
+
 def _gathered(batches, most: int = 16 << 20):
     """Batches of whole rows joined to about `most` bytes: the more texts run side by side, the fewer steps a long one takes alone."""
     parts, size = [], 0
@@ -320,7 +351,7 @@ def _scorer(shared):
     return run
 
 
-def fit(texts: DataFrame, lex: Lexicon, *, one_in: int = 16, rounds: int = 2, segment: int = 512) -> np.ndarray:
+def fit(texts: DataFrame, lex: Lexicon, *, one_in: int = 1, rounds: int = 2, segment: int = 512) -> np.ndarray:
     """Weights after rounds of local training and averaging over one text in `one_in`, each round with texts of its own."""
     spark = texts.sparkSession
     part = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("train")), F.lit(one_in * rounds))
@@ -329,16 +360,16 @@ def fit(texts: DataFrame, lex: Lexicon, *, one_in: int = 16, rounds: int = 2, se
     for r in range(rounds):
         shared = spark.sparkContext.broadcast((lex, weights))
         got = sample.filter(F.col("part") == r).select("text").mapInArrow(_trainer(shared, segment), "part int, tokens double, x array<float>")
-        each = got.select("part", "tokens", F.posexplode("x").alias("at", "v")).groupBy("part", "at").agg((F.sum(F.col("v") * F.col("tokens")) / F.sum("tokens")).alias("v"))
-        mean = each.toArrow()
+        mean = got.repartition("part").mapInArrow(_averaged, "part int, x array<float>").toArrow()
         if mean.num_rows:
-            weights = np.zeros_like(weights)
-            weights[mean["part"].to_numpy().astype(np.int64) * segment + mean["at"].to_numpy()] = mean["v"].to_numpy()
+            weights = np.empty_like(weights)
+            for k, x in zip(mean["part"].to_pylist(), mean["x"], strict=True):
+                weights[k * segment : (k + 1) * segment] = x.values.to_numpy()
         shared.unpersist()
     return weights
 
 
-def document_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, folds: int = 10, cache: int = 1 << 17, shape: Shape | None = None, one_in: int = 16, rounds: int = 2) -> DataFrame:
+def document_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, folds: int = 10, cache: int = 1 << 17, shape: Shape | None = None, one_in: int = 1, rounds: int = 2) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of probabilities).
 
     Texts whose crc32(id) mod `folds` is not 0 are learnt from; a null id counts as empty text. A null text is empty: its one token is
@@ -350,7 +381,7 @@ def document_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = written(word_counts(training))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ranked = counts.filter(F.length("word") <= MAX_WORD).orderBy(F.desc("c"), "word").limit(cache).toArrow()
-    lex = Lexicon(ranked["word"].to_pylist(), ranked["c"].to_numpy().astype(np.float64), total, distinct, shape or Shape())
+    lex = Lexicon(ranked["word"].to_pylist(), ranked["c"].to_numpy().astype(np.float64), total, distinct, shape or grown(total, cache))
     weights = fit(training, lex, one_in=one_in, rounds=rounds)
     shared = spark.sparkContext.broadcast((lex, weights))
     schema = f"doc_id {dict(texts.dtypes)['doc_id']}, n_tokens long, known long, base double, model double, others array<binary>"

@@ -171,6 +171,14 @@ def test_language_model(docs, none, spark):
     assert language_model.document_scores(docs).count() == len(TEXTS) and language_model.document_scores(none).collect() == []
 
 
+def test_language_model_learns_from_all_texts(spark):
+    for k in range(1, 5):  # alone, each text is learnt from at production parameters
+        got = language_model.document_scores(spark.createDataFrame([(k, "a b c d e f g h " * 20)], "doc_id long, text string")).first()
+        assert not got.held_out and got.score > got.base_score + 1, k
+    assert language_model.grown(1000, 1 << 17) == language_model.Shape()
+    assert [language_model.grown(n, 1 << 17).words for n in (10**8, 10**12)] == [9984, 1 << 17]
+
+
 def test_language_model_gradient_and_sum():
     lex = language_model.Lexicon([b"", b"a", b"b", b"c"], np.array([5.0, 4, 3, 2]), 20, 9, language_model.Shape(2, 2, 3, 4))
     net = language_model.Network(lex)
