@@ -2,7 +2,8 @@
 
 A byte-pair vocabulary learnt from text spends few tokens on words and many on random strings. A run of 20 or more
 key characters is reported as random when it takes few characters to a token, unless it is a known digest (hexadecimal of a
-usual digest's length), an identifier (UUID, number, words joined or in camel case), or overlaps a span that the patterns found.
+usual digest's length), an identifier (UUID, number, words joined or in camel case that each take many characters to a token), or
+overlaps a span that the patterns found. Letters alone are no identifier by that.
 
 Scale: narrow, no shuffle, whole texts; only candidate runs are tokenised.
 """
@@ -42,15 +43,15 @@ def patterns(text: str) -> list[tuple[int, int, str]]:
     return out + [(*m.span(), "hex") for m in _LONG_HEX.finditer(text)]
 
 
-def excluded(run: str) -> bool:
-    """Whether a run is a known digest or an identifier."""
+def excluded(run: str, efficiency, most: float) -> bool:
+    """Whether a run is a known digest or an identifier, whose own words are each efficient."""
     if _HEX_ONLY.fullmatch(run) and len(run) in DIGESTS or _UUID.fullmatch(run):
         return True
     parts = _PART.findall(run)
     words = [p for p in parts if p.isalpha()]
     digits = sum(len(p) for p in parts if p.isdigit())
     # numbers alone, or words of three letters and more on average with no more than an ending of digits
-    return not words or 8 * digits <= len(run) and sum(map(len, words)) >= 3 * len(words)
+    return not words or 8 * digits <= len(run) and sum(map(len, words)) >= 3 * len(words) and all(efficiency(w) > most for w in words)
 
 
 class Efficiency:
@@ -70,7 +71,7 @@ def scan(text: str | None, efficiency, most: float) -> list[tuple[int, int, str]
     text = text or ""
     found = patterns(text)
     more = [m for m in _RUN.finditer(text) if not any(m.start() < b and a < m.end() for a, b, _ in found)]
-    found += [(*m.span(), "random") for m in more if not excluded(m[0]) and efficiency(m[0]) <= most]
+    found += [(*m.span(), "random") for m in more if efficiency(m[0]) <= most and not excluded(m[0], efficiency, most)]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

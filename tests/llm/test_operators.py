@@ -211,6 +211,18 @@ def test_secrets(docs, none):
     assert secret_scan.secrets(docs, path, public_tokenizers.PATTERN).count() == len(TEXTS) and secret_scan.secrets(none, path, public_tokenizers.PATTERN).collect() == []
 
 
+def test_random_strings_by_the_real_vocabulary():
+    efficiency, rng = secret_scan.Efficiency(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), np.random.default_rng(4)
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for alphabet in (lower, upper, upper + "234567", lower + upper, lower + upper + "0123456789", lower + "0123456789"):
+        for n in (20, 24, 32, 40, 64):
+            runs = ["".join(rng.choice(list(alphabet), n)) for _ in range(100)]
+            found = [any(k == "random" for _, _, k in secret_scan.scan(r, efficiency, 2.0)) for r in runs]
+            assert np.mean(found) >= 0.95 and all(f or efficiency(r) > 2.0 for f, r in zip(found, runs, strict=True)), (alphabet, n)
+    for t in ("some_long_identifier_name_here1", "internationalizationSupport", "123e4567-E89B-12d3-A456-426614174000", "12345678901234567890"):
+        assert secret_scan.scan(t, efficiency, 2.0) == [], t
+
+
 def test_url_filter(spark):
     urls = ["http://a.com/x", "https://Www.Example.com/en/1?q", "http://b.example.com/en/", "x://net/es/1", "http://n.net/fr/#a", "http://com", "nothing", "", None, "http://other.org/en/9", "http://other.org/en/9"]
     df = spark.createDataFrame([(k, u, "clash") for k, u in enumerate(urls)], "page_id long, url string, host string")
