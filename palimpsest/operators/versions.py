@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PUT, DELETE, MERGE = 1, 2, 3
+#: Versions of one key that one task takes; a key with more is dealt over several.
+DEALT = 1 << 16
 
 
 def entry_errors(entries: DataFrame, key: str = "key") -> DataFrame:
@@ -36,6 +38,16 @@ def live(versions: DataFrame, key: str = "key") -> DataFrame:
     return versions.withColumn("_end", end).filter("_end is null or prec <= _end").drop("_end")
 
 
+def live_dealt(versions: DataFrame, key: str = "key") -> DataFrame:
+    """As live, without a window: the versions of a key with more than DEALT of them are dealt over tasks, which the column _deal tells apart."""
+    ends = versions.groupBy(F.col(key).alias("_key")).agg(F.min(F.when(F.col("kind") != MERGE, F.col("prec"))).alias("_end"), F.ceil(F.count("*") / DEALT).alias("_deals"))
+    hot = ends.filter("_deals > 1").select(F.col("_key").alias("_hot"), F.col("_deals").alias("_among"))
+    dealt = versions.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot")), "left").withColumn("_deal", F.pmod(F.xxhash64("prec"), F.coalesce("_among", F.lit(1))))
+    ends = ends.select("_key", "_end", F.explode(F.sequence(F.lit(0), F.col("_deals") - 1)).alias("_of"))
+    both = dealt.join(ends, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_deal") == F.col("_of")))
+    return both.filter("_end is null or prec <= _end").select(*versions.columns, "_deal")
+
+
 def last_writer(versions: DataFrame, key: str = "key", *, bottom: bool) -> DataFrame:
     """The newest version of each key, for histories without merges: one aggregation, no sort. A merge on top is an error.
 
@@ -70,15 +82,34 @@ def resolve_sets(versions: DataFrame, key: str = "key", *, bottom: bool) -> Data
     return out.filter(F.col("kind") == PUT) if bottom else out
 
 
-def resolve_with(versions: DataFrame, fold, result: str, key: str = "key", *, bottom: bool) -> DataFrame:
+def resolve_with(versions: DataFrame, fold, result: str, key: str = "key", *, bottom: bool, partial=None) -> DataFrame:
     """(key, kind, value) by a fold of one's own: fold(base or null, array of operands oldest first) is a Column expression that gives
-    the value, null for none. For folds without a closed form; a key's live operands must fit in memory."""
+    the value, null for none. For folds without a closed form; a key's live operands must fit in memory.
+
+    A fold that is associative and takes the operands in any order has no such bound: partial, an aggregate such as F.sum that also
+    combines its own results, gathers the operands, and fold(base or null, what partial gave) gives the value."""
+    if partial is not None:
+        return _resolve_dealt(versions, fold, partial, result, key, bottom)
     seen = live(versions, key)
     parts = seen.groupBy(key).agg(
         F.max(F.when(F.col("kind") == PUT, F.col("value"))).alias("base"), F.max((F.col("kind") == MERGE).cast("int")).alias("ops"), F.max((F.col("kind") == DELETE).cast("int")).alias("dead"), F.max((F.col("kind") == PUT).cast("int")).alias("put"),
         F.array_sort(F.collect_list(F.when(F.col("kind") == MERGE, F.struct((-F.col("prec")).alias("p"), "value")))).alias("operands"),
     )
-    value = F.when(F.col("ops") == 0, F.col("base")).otherwise(fold(F.col("base"), F.transform("operands", lambda x: x["value"]))).cast(result)
+    return _folded(parts, fold(F.col("base"), F.transform("operands", lambda x: x["value"])), result, key, bottom)
+
+
+def _resolve_dealt(versions, fold, partial, result, key, bottom):
+    names = ("base", "ops", "dead", "put")
+    each = live_dealt(versions, key).groupBy(key, "_deal").agg(
+        F.max(F.when(F.col("kind") == PUT, F.col("value"))).alias("base"), *(F.max((F.col("kind") == k).cast("int")).alias(n) for k, n in ((MERGE, "ops"), (DELETE, "dead"), (PUT, "put"))), partial(F.when(F.col("kind") == MERGE, F.col("value"))).alias("operands"),
+    )
+    parts = each.groupBy(key).agg(*(F.max(n).alias(n) for n in names), partial(F.col("operands")).alias("operands"))
+    return _folded(parts, fold(F.col("base"), F.col("operands")), result, key, bottom)
+
+
+def _folded(parts, folded, result, key, bottom):
+    """(key, kind, value) of keys' base, flags and the value that their operands were folded to."""
+    value = F.when(F.col("ops") == 0, F.col("base")).otherwise(folded).cast(result)
     out = parts.withColumn("value", value).withColumn("kind", F.when((F.col("ops") == 0) & (F.col("put") == 1), PUT).when((F.col("ops") == 1) & F.col("value").isNotNull(), PUT).otherwise(DELETE))
     open_ = (F.col("ops") == 1) & (F.col("put") == 0) & (F.col("dead") == 0)
     if not bottom:

@@ -213,8 +213,12 @@ def worth_cleaning(spark, sf_dir):
 
 
 def set_union_except(spark, sf_dir):
-    e = history(spark, sf_dir).groupBy("user_id").agg(F.array_distinct(F.flatten(F.collect_list("add"))).alias("a"), F.array_distinct(F.flatten(F.collect_list("rem"))).alias("r"))
-    return e.select("user_id", _text(F.array_sort(F.array_union("a", "r"))).alias("either"), _text(F.array_sort(F.array_except("a", "r"))).alias("only_added"))
+    """Members are made distinct by aggregation, so that only distinct ones are gathered; a user without any stays."""
+    side = lambda c, removed: F.transform(c, lambda m: F.struct(m.alias("m"), F.lit(removed).alias("removed")))
+    each = history(spark, sf_dir).select("user_id", F.explode_outer(F.concat(side("add", False), side("rem", True))).alias("x"))
+    each = each.groupBy("user_id", F.col("x.m").alias("m")).agg(F.max("x.removed").alias("removed"))
+    sides = each.groupBy("user_id").agg(F.array_sort(F.collect_list("m")).alias("either"), F.array_sort(F.collect_list(F.when(~F.col("removed"), F.col("m")))).alias("only"))
+    return sides.select("user_id", _text(F.col("either")).alias("either"), _text(F.col("only")).alias("only_added"))
 
 
 def fold_sum(spark, sf_dir):
@@ -222,7 +226,7 @@ def fold_sum(spark, sf_dir):
     e = _table(spark, sf_dir, "events")
     kind = F.when(F.col("event_type").isin("signup", "purchase"), 1).when(F.col("event_type") == "error", 2).otherwise(3)
     v = e.select("user_id", (-F.col("event_id")).alias("prec"), kind.alias("kind"), (F.col("event_id") % 100).alias("value"))
-    out = versions.resolve_with(v, lambda base, ops: F.aggregate(ops, F.coalesce(base, F.lit(0).cast("long")), lambda a, x: a + x), "long", "user_id", bottom=True)
+    out = versions.resolve_with(v, lambda base, ops: F.coalesce(base, F.lit(0).cast("long")) + ops, "long", "user_id", bottom=True, partial=F.sum)
     return out.select("user_id", "value")
 
 

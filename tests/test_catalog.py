@@ -64,6 +64,31 @@ def test_resolve_truth_table(spark):
         assert got[bottom].get(k) == want, k
 
 
+def test_hot_keys_are_not_gathered(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from palimpsest.operators import versions
+
+    monkeypatch.setattr(versions, "DEALT", 16)
+    e = spark.range(600).select(F.when(F.col("id") % 3 > 0, 1).when(F.col("id") % 41 > 0, F.col("id") % 7 + 2).alias("user_id"), F.col("id").alias("event_id"))
+    e = e.withColumn("event_type", F.when(F.col("event_id") % 97 == 5, "error").when(F.col("event_id") == 100, "purchase").when(F.col("event_id") % 5 == 0, "view").otherwise("click")).withColumn("props", F.concat(F.lit('{"k": '), F.col("event_id") % 9, F.lit("}")))
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    for name in ("fold_sum", "set_union_except"):
+        got = catalog.QUERIES[name](spark, str(tmp_path))
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "flatten" not in plan and (name != "fold_sum" or "collect_list" not in plan and "Window" not in plan)
+        want = [tuple(map(str, r)) for r in c.sql(catalog.ORACLE[name]).fetchall()]
+        assert sorted(tuple(map(str, r)) for r in got.filter("user_id is not null").collect()) == sorted(r for r in want if r[0] != "None"), name
+    v = e.select("user_id", (-F.col("event_id")).alias("prec"), F.when(F.col("event_type") == "error", 2).when(F.col("event_type") == "purchase", 1).otherwise(3).alias("kind"), F.col("event_id").alias("value"))
+    assert versions.live_dealt(v, "user_id").select("_deal").distinct().count() > 1
+    for bottom in (False, True):
+        one = versions.resolve_with(v, lambda b, x: F.aggregate(x, F.coalesce(b, F.lit(0).cast("long")), lambda s, y: s + y), "long", "user_id", bottom=bottom)
+        two = versions.resolve_with(v, lambda b, x: F.coalesce(b, F.lit(0).cast("long")) + x, "long", "user_id", bottom=bottom, partial=F.sum)
+        assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
 def test_flush_and_read_back(spark, tmp_path):
     from palimpsest.operators.versions import last_writer, merge_runs
     from palimpsest.sources.tables import flush, read
