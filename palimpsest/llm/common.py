@@ -46,8 +46,16 @@ def narrow(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
-def slices(batches, rows: int = 512):
-    """Arrow batches cut to at most `rows` rows, so that Python objects of few texts are alive at once."""
+def slices(batches, rows: int = 512, size: int = 8 << 20):
+    """Arrow batches cut to at most `rows` rows and, where rows are long, to fewer: about `size` bytes, or one row that has more. So
+    Python objects of few texts are alive at once."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+            todo = [batch.slice(at, rows)]
+            while todo:
+                part = todo.pop()
+                if part.num_rows > 1 and part.nbytes > size:
+                    half = part.num_rows // 2
+                    todo += [part.slice(half), part.slice(0, half)]
+                else:
+                    yield part

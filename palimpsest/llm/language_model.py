@@ -6,21 +6,27 @@ P(word) = P(class | state) * P(word | class, state), and the probabilities of al
 start at the corpus counts: an untrained network scores exactly as the unigram base does.
 
 Training: truncated backpropagation in numpy on the executors, in rounds that share out all training texts. Each task trains on its part of
-a round's texts, and the weights are averaged by tokens; so the work grows with the corpus and what comes to the driver is one set of
-weights. The network's vocabulary grows with the corpus. Counts are taken over all training texts. Scoring: whole texts, many side by side, the state carried across windows.
-
-Scale: word counts are summed in tasks (a bounded table that is flushed) before they are shuffled. The `cache` most frequent words, at most
-MAX_WORD bytes each, are broadcast, so frequent words never meet in a shuffle; only the others are joined with the counts.
+a round's texts with one Adam, and the weights are averaged by tokens; so the work grows with the corpus and what comes to the driver is
+one set of weights. The network's vocabulary grows with the corpus (see grown): a limit, since words beyond it share one class and are
+told apart by their counts alone. Counts are taken over all training texts. Scoring: whole texts, many side by side, the state carried
+across windows.
+
+Scale: words are cut, counted and coded in Arrow, a text once; the table of codes is what training and scoring read. Counts are summed in
+tasks (a bounded table that is flushed) before they are shuffled. The `cache` most frequent words, of at most MAX_WORD bytes, are broadcast,
+so frequent words never meet in a shuffle; only the others are joined with the counts.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
+from copy import copy
 from dataclasses import dataclass, replace
 from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +35,7 @@ from palimpsest.llm.common import fold_of, narrow, slices, written
 #: The end of a text, as a word: no word is empty.
 END = b""
 SMOOTH = 0.1
-MAX_WORD = 256
+MAX_WORD = 64
 _LOG10 = np.log(10.0)
 
 
@@ -46,33 +52,53 @@ class Shape:
 
 
 def grown(tokens: int, most: int) -> Shape:
-    """The shape for a corpus of so many tokens: as many words as the square root of the tokens, in more classes, up to `most` words."""
+    """The shape for a corpus of so many tokens: as many words as the square root of the tokens, up to `most`, in about as many classes as
+    a class has words, so that the output's cost grows with the fourth root of the tokens."""
     s = Shape()
-    return replace(s, classes=max(s.classes, min(isqrt(tokens), most) // s.per_class))
-
-
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
-
-
-def word_counts(texts: DataFrame, most: int = 200_000) -> DataFrame:
+    words = max(s.words, min(isqrt(tokens), most))
+    per_class = max(s.per_class, isqrt(words))
+    return replace(s, classes=words // per_class, per_class=per_class)
+
+
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, each text's followed by END, and how many tokens each text has. A word of more than MAX_WORD bytes goes by
+    its digest behind a byte that UTF-8 lacks: so all words are short, and a frequent long one is in the lexicon as any other."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = lists.flatten().cast(pa.binary())
+    size, parts = pc.binary_length(flat).to_numpy(), pc.list_value_length(lists).to_numpy()
+    own = np.flatnonzero(size)  # splitting leaves empty words at a text's ends
+    counts = np.bincount(np.repeat(np.arange(len(parts)), parts)[own], minlength=len(parts)) + 1
+    long = np.flatnonzero(size > MAX_WORD)
+    names = [END, *(b"\xff" + hashlib.sha256(flat[int(k)].as_py()).digest() for k in long)]
+    place = np.arange(len(flat))
+    place[long] = len(flat) + 1 + np.arange(len(long))
+    at = np.full(counts.sum(), len(flat))
+    inner = np.ones(len(at), bool)
+    inner[np.cumsum(counts) - 1] = False
+    at[inner] = place[own]
+    return pa.concat_arrays([flat, pa.array(names, pa.binary())]).take(pa.array(at)), counts
+
+
+def word_counts(texts: DataFrame, most: int = 400_000) -> DataFrame:
     """(word, c) over whole texts, END included. A task's table is sent on when it has `most` words."""
 
-    def run(batches):
-        table: Counter = Counter()
+    def summed(parts):
+        return pa.Table.from_batches(parts).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"]).combine_chunks().to_batches()
 
-        def flush():
-            out = pa.RecordBatch.from_pydict({"word": pa.array(list(table), pa.binary()), "c": pa.array(list(table.values()), pa.int64())})
-            table.clear()
-            return out
-
-        for batch in slices(batches, 256):
-            for t in batch.column("text").to_pylist():
-                table.update(words(t))
-            table[END] += batch.num_rows
-            if len(table) >= most:
-                yield flush()
-        yield flush()
+    def run(batches):
+        parts, rows = [], 0
+        for batch in slices(batches, 1 << 14, 16 << 20):
+            found = pc.value_counts(tokens(batch.column("text"))[0])
+            parts.append(pa.RecordBatch.from_arrays([found.field("values"), found.field("counts").cast(pa.int64())], names=["word", "c"]))
+            rows += len(found)
+            if rows >= most:
+                parts = summed(parts)
+                rows = sum(p.num_rows for p in parts)
+                if rows >= most // 2:
+                    yield from parts
+                    parts, rows = [], 0
+        if parts:
+            yield from summed(parts)
 
     return texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -81,17 +107,22 @@ class Lexicon:
     """The frequent words with their counts, and the totals of all training tokens."""
 
     def __init__(self, ranked: list[bytes], counts: np.ndarray, total: int, distinct: int, shape: Shape):
-        self.index = {w: i for i, w in enumerate(ranked)}
+        self.words = pa.array(ranked, pa.binary())
         self.counts, self.total, self.distinct, self.shape = counts, total, distinct, shape
         self.n_words = min(shape.words, len(ranked))  # of the network
         self.rare_total = total - int(counts[: self.n_words].sum())
         self.log_all = np.log(total + SMOOTH * (distinct + 1))
         self.log_rare = np.log(self.rare_total + SMOOTH * (distinct - self.n_words + 1))
 
-    def codes(self, text: str | None) -> np.ndarray:
-        """The rank of each token, -1 where the lexicon has none."""
-        get = self.index.get
-        return np.array([get(w, -1) for w in words(text)] + [get(END, -1)], np.int64)
+    def bare(self) -> Lexicon:
+        """What the network needs of the lexicon: without the words' texts."""
+        out = copy(self)
+        out.words, out.counts = None, self.counts[: self.n_words]
+        return out
+
+    def ranks(self, words: pa.Array) -> np.ndarray:
+        """The rank of each word, -1 where the lexicon has none."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
 
 
 class Network:
@@ -102,12 +133,12 @@ class Network:
         self.shape = s
         mass = np.full(s.words, -30.0)
         mass[: lex.n_words] = np.log(lex.counts[: lex.n_words] + SMOOTH)
-        mass = mass.reshape(s.classes, s.per_class)
+        mass = mass.reshape(s.classes, s.per_class) - lex.log_all
         top = mass.max(axis=1, keepdims=True)
         by_class = (top + np.log(np.exp(mass - top).sum(axis=1, keepdims=True)))[:, 0]
         self.w = {
             "e": rng.normal(0, 0.1, (s.words + 1, s.embed)), "wx": rng.normal(0, s.embed**-0.5, (s.embed, 3 * s.hidden)), "b": np.zeros(3 * s.hidden), "u": rng.normal(0, s.hidden**-0.5, (s.hidden, 3 * s.hidden)),
-            "c": np.zeros((s.hidden, s.classes + 1)), "cb": np.append(by_class, lex.log_rare), "o": np.zeros((s.classes, s.hidden, s.per_class)), "ob": mass,
+            "c": np.zeros((s.hidden, s.classes + 1)), "cb": np.append(by_class, lex.log_rare - lex.log_all), "o": np.zeros((s.classes, s.hidden, s.per_class)), "ob": mass,
         }
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
 
@@ -126,50 +157,69 @@ class Network:
         return self.w["e"] @ self.w["wx"] + self.w["b"]
 
     def steps(self, x: np.ndarray, reset: np.ndarray, h: np.ndarray, keep: bool = False, table: np.ndarray | None = None):
-        """States before each of the tokens x (time by lane), the state after them, and with keep the gates. table: inputs(), if at hand."""
+        """States before each of the tokens x (time by lane), the state after them, and with keep the gates z, r, c and the candidate's
+        part of h @ u, each time by lane. table: inputs(), if at hand."""
         n, u = self.shape.hidden, self.w["u"]
         table = self.inputs() if table is None else table
-        states, gates = np.empty((*x.shape, n), np.float32), []
+        states = np.empty((*x.shape, n), h.dtype)
+        gates = [np.empty((*x.shape, k * n), h.dtype) for k in (2, 1, 1)] if keep else None
+        new = reset.any(axis=1)
         for t in range(len(x)):
-            h = np.where(reset[t][:, None], np.float32(0), h) if reset[t].any() else h
+            if new[t]:
+                h = np.where(reset[t][:, None], h.dtype.type(0), h)
             states[t] = h
             a, g = table[x[t]], h @ u
-            zr = a[:, : 2 * n] + g[:, : 2 * n]
+            zr = np.add(a[:, : 2 * n], g[:, : 2 * n], out=gates[0][t] if keep else None)
             np.negative(zr, out=zr)
             np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
             z, r = zr[:, :n], zr[:, n:]
-            c = r * g[:, 2 * n :]
+            c = np.multiply(r, g[:, 2 * n :], out=gates[1][t] if keep else None)
             c += a[:, 2 * n :]
             np.tanh(c, out=c)
             if keep:
-                gates.append((h, z, r, c, g[:, 2 * n :]))
-            h = c + z * (h - c)
-        return states, h, gates
+                gates[2][t] = g[:, 2 * n :]
+            h = h - c
+            h *= z
+            h += c
+        return states, h, (gates[0][..., :n], gates[0][..., n:], gates[1], gates[2]) if keep else None
 
-    def output(self, h: np.ndarray, y: np.ndarray, grad: bool = False):
+    def output(self, h: np.ndarray, y: np.ndarray, grad: bool = False, rows: int = 512):
         """Natural log-probability of each token y (rank, or words for rare, without the share inside the rare class), and with grad
-        the gradients of the sum of negated ones; those of o and ob for the classes in use, which are its `used`."""
+        the gradients of the sum of negated ones; those of o and ob for the classes in use, which are its `used`. `rows` at a time
+        stay in the processor's cache."""
         s, w = self.shape, self.w
-        cls = y // s.per_class
-        p, lp = _softmax(h @ w["c"] + w["cb"], cls, grad)
+        cls, lp, dh, g = y // s.per_class, np.empty(len(y)), np.empty_like(h) if grad else None, {}
+        if grad:
+            g, c_back = {"c": np.zeros_like(w["c"]), "cb": np.zeros_like(w["cb"])}, np.ascontiguousarray(w["c"].T)
+        for at in range(0, len(y), rows):
+            part = slice(at, at + rows)
+            p, lp[part] = _softmax(h[part], w["c"], w["cb"], cls[part], grad)
+            if grad:
+                p[np.arange(len(p)), cls[part]] -= 1
+                np.matmul(p, c_back, out=dh[part])
+                g["c"] += h[part].T @ p
+                g["cb"] += p.sum(0)
         order = np.argsort(cls, kind="stable")
         bounds = np.searchsorted(cls[order], np.arange(s.classes + 1))
+        order = order[: bounds[-1]]
         h_in, y_in = h[order], y[order] % s.per_class
-        dh, g, in_use = None, {}, np.flatnonzero(np.diff(bounds))
+        in_use, inner, back = np.flatnonzero(np.diff(bounds)), np.empty(len(order)), np.empty_like(h_in) if grad else None
         if grad:
-            p[np.arange(len(y)), cls] -= 1
-            dh, g = p @ w["c"].T, {"c": h.T @ p, "cb": p.sum(0), "o": np.empty((len(in_use), *w["o"].shape[1:]), np.float32), "ob": np.empty((len(in_use), s.per_class), np.float32), "used": in_use}
+            g |= {"o": np.empty((len(in_use), *w["o"].shape[1:]), h.dtype), "ob": np.empty((len(in_use), s.per_class), h.dtype), "used": in_use}
         for at, k in enumerate(in_use):
             of = slice(bounds[k], bounds[k + 1])
-            rows, hk, yk = order[of], h_in[of], y_in[of]
-            q, own = _softmax(hk @ w["o"][k] + w["ob"][k], yk, grad)
-            lp[rows] += own
+            hk, yk = h_in[of], y_in[of]
+            q, inner[of] = _softmax(hk, w["o"][k], w["ob"][k], yk, grad)
             if grad:
-                q[np.arange(len(rows)), yk] -= 1
-                dh[rows] += q @ w["o"][k].T
-                g["o"][at], g["ob"][at] = hk.T @ q, q.sum(0)
+                q[np.arange(len(q)), yk] -= 1
+                np.matmul(q, w["o"][k].T, out=back[of])
+                np.matmul(hk.T, q, out=g["o"][at])
+                q.sum(0, out=g["ob"][at])
+        lp[order] += inner
+        if grad:
+            dh[order] += back
         return lp, dh, g
 
     def gradient(self, x: np.ndarray, reset: np.ndarray, live: np.ndarray, h0: np.ndarray):
@@ -186,40 +236,58 @@ class Network:
         n, w = self.shape.hidden, self.w
         ids, own = np.unique(x, return_inverse=True)
         own = own.reshape(x.shape)
-        states, h, gates = self.steps(own, reset, h0, keep=True, table=w["e"][ids] @ w["wx"] + w["b"])
+        hp, h, (z, r, c, gc) = self.steps(own, reset, h0, keep=True, table=w["e"][ids] @ w["wx"] + w["b"])
         on = live.reshape(-1)
-        dh_out = np.zeros((x.size, n), np.float32)
-        _, part, g = self.output(states.reshape(-1, n)[on], x.reshape(-1)[on], grad=True)
+        dh_out = np.zeros((x.size, n), h0.dtype)
+        _, part, g = self.output(hp.reshape(-1, n)[on], x.reshape(-1)[on], grad=True)
         dh_out[on] = part
         dh_out = dh_out.reshape(*x.shape, n)
-        da_all, du, dh = np.empty((*x.shape, 3 * n), np.float32), np.zeros_like(w["u"]), np.zeros_like(h0)
-        for t in range(len(x) - 1, -1, -1):
-            hp, z, r, c, gc = gates[t]
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (hp - c) * z * (1 - z)
-            dr = dc * gc * r * (1 - r)
-            da_all[t] = np.concatenate([dz, dr, dc], 1)
-            dg = np.concatenate([dz, dr, dc * r], 1)
-            du += hp.T @ dg
-            dh = dh * z + dg @ w["u"].T + dh_out[t]
-            dh = np.where(reset[t][:, None], np.float32(0), dh)
-        flat = da_all.reshape(-1, 3 * n)
-        used = w["e"][x.reshape(-1)]
-        g |= {"u": du, "wx": used.T @ flat, "b": flat.sum(0), "e": np.zeros((len(ids), self.shape.embed), np.float32)}
-        np.add.at(g["e"], own.reshape(-1), flat @ w["wx"].T)
+        da, dg, dh, u_back = np.empty((*x.shape, 3 * n), h0.dtype), np.empty((*x.shape, 3 * n), h0.dtype), np.zeros_like(h0), np.ascontiguousarray(w["u"].T)
+        new, one, two = reset.any(axis=1), np.empty_like(h0), np.empty_like(h0)
+        for t in range(len(x) - 1, -1, -1):  # one lane's arrays are small enough for the processor's cache: no temporaries of whole windows
+            zt, rt, ct = z[t], r[t], c[t]
+            np.subtract(1, zt, out=one)
+            one *= dh
+            np.subtract(hp[t], ct, out=two)
+            two *= zt
+            np.multiply(one, two, out=da[t, :, :n])
+            ct *= ct
+            np.subtract(1, ct, out=ct)
+            np.multiply(one, ct, out=da[t, :, 2 * n :])
+            np.subtract(1, rt, out=two)
+            np.multiply(da[t, :, 2 * n :], rt, out=dg[t, :, 2 * n :])
+            two *= gc[t]
+            np.multiply(dg[t, :, 2 * n :], two, out=da[t, :, n : 2 * n])
+            dg[t, :, : 2 * n] = da[t, :, : 2 * n]
+            dh *= zt
+            dh += np.matmul(dg[t], u_back, out=two)
+            dh += dh_out[t]
+            if new[t]:
+                dh[reset[t]] = 0
+        flat = da.reshape(-1, 3 * n)
+        to_e, places = w["wx"] @ flat.T, own.reshape(-1)
+        by_word = np.stack([np.bincount(places, v, len(ids)) for v in to_e], 1).astype(h0.dtype)
+        g |= {"u": hp.reshape(-1, n).T @ dg.reshape(-1, 3 * n), "wx": w["e"][x.reshape(-1)].T @ flat, "b": flat.sum(0), "e": by_word}
         in_use = g.pop("used")
         return g, {"e": ids, "o": in_use, "ob": in_use}, h
 
 
-def _softmax(x: np.ndarray, y: np.ndarray, grad: bool):
-    """Probabilities (in the place of x, only with grad) and the log-probability of y."""
-    x -= x.max(axis=1, keepdims=True)
-    own = x[np.arange(len(x)), y].astype(np.float64)
-    np.exp(x, out=x)
-    total = x.sum(axis=1, keepdims=True)
+def _softmax(h: np.ndarray, w: np.ndarray, bias: np.ndarray, y: np.ndarray, grad: bool):
+    """Of the outputs h @ w + bias the probabilities (with grad) and the log-probability of y."""
+    e = h @ w
+    e += bias
+    own = e[np.arange(len(e)), y]
+    np.exp(e, out=e)
+    total = e.sum(axis=1)
+    if not (np.isfinite(total).all() and total.all()):  # beyond single precision: from the largest on
+        e = h @ w + bias
+        top = e.max(axis=1)
+        own -= top
+        np.exp(e - top[:, None], out=e)
+        total = e.sum(axis=1)
     if grad:
-        x /= total
-    return x, own - np.log(total[:, 0])
+        e *= np.reciprocal(total)[:, None]
+    return e, own.astype(np.float64) - np.log(total.astype(np.float64))
 
 
 def lanes(lengths: list[int], width: int) -> list[list[int]]:
@@ -233,13 +301,12 @@ def lanes(lengths: list[int], width: int) -> list[list[int]]:
 
 
 def windows(codes: list[np.ndarray], limit: int, width: int, steps: int):
-    """Windows (lanes in use, tokens, resets, owner of each place or -1) of `steps` by lanes over all texts; ranks from `limit` on are
-    rare. Memory is linear in the tokens, whatever the longest text."""
+    """Windows (lanes in use, tokens, resets, owner of each place or -1) of `steps` by lanes over all texts; `limit` fills places
+    without a token. Memory is linear in the tokens, whatever the longest text."""
     dealt = [k for k in lanes([len(c) for c in codes], min(width, max(1, len(codes)))) if k]
     order = [k for lane in dealt for k in lane]
     length = np.array([len(codes[k]) for k in order], np.int64)
     tokens = np.concatenate([np.empty(0, np.int64), *(codes[k] for k in order)])
-    tokens[(tokens < 0) | (tokens >= limit)] = limit
     owners, first = np.repeat(np.array(order, np.int64), length), np.zeros(len(tokens), bool)
     first[(np.cumsum(length) - length)[length > 0]] = True
     size = np.array([sum(len(codes[k]) for k in lane) for lane in dealt], np.int64)
@@ -252,12 +319,10 @@ def windows(codes: list[np.ndarray], limit: int, width: int, steps: int):
         yield some, np.where(inside, tokens[place], limit), first[place] & inside, np.where(inside, owners[place], -1)
 
 
-def score_texts(net: Network, lex: Lexicon, codes: list[np.ndarray], width: int = 192, steps: int = 48) -> np.ndarray:
+def score_texts(net: Network, codes: list[np.ndarray], width: int = 256, steps: int = 48) -> np.ndarray:
     """The network's log-probability of each whole text, rare words counting as their class."""
-    limit = net.shape.words
-    low = [np.where(c >= lex.n_words, -1, c) for c in codes]
-    total, h, table = np.zeros(len(codes)), None, net.inputs()
-    for some, x, reset, owner in windows(low, limit, width, steps):
+    limit, total, h, table = net.shape.words, np.zeros(len(codes)), None, net.inputs()
+    for some, x, reset, owner in windows(codes, limit, width, steps):
         h = np.zeros((len(some), net.shape.hidden), np.float32) if h is None else h
         states, h[some], _ = net.steps(x, reset, h[some], table=table)
         on = owner.reshape(-1) >= 0
@@ -266,36 +331,100 @@ def score_texts(net: Network, lex: Lexicon, codes: list[np.ndarray], width: int
     return total
 
 
-def train_texts(net: Network, lex: Lexicon, codes: list[np.ndarray], rate: float = 0.01, width: int = 32, steps: int = 24) -> int:
-    """One pass of Adam over the texts, in place; the number of tokens. Words and classes outside a window keep their weights and moments in it."""
-    first, second, step = {k: np.zeros_like(v) for k, v in net.w.items()}, {k: np.zeros_like(v) for k, v in net.w.items()}, 0
-    low, h, seen = [np.where(c >= lex.n_words, -1, c) for c in codes], None, 0
-    for some, x, reset, owner in windows(low, net.shape.words, width, steps):
-        h = np.zeros((len(some), net.shape.hidden), np.float32) if h is None else h
-        live = owner >= 0
-        g, rows, h[some] = net.sparse_gradient(x, reset, live, h[some])
-        n, step = int(live.sum()), step + 1
-        seen += n
-        norm = np.sqrt(sum(float((v * v).sum()) for v in g.values())) / n
-        scale = min(1.0, 1.0 / max(norm, 1e-12)) / n
-        fix = rate * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+def stream(codes: list[np.ndarray], limit: int, width: int):
+    """All texts end to end, cut into `width` lanes of one length (time by lane): tokens, where a text or lane begins, and which places
+    are tokens. Only training reads texts so: a text that a lane's end cuts goes on from a new state."""
+    tokens = np.concatenate([np.empty(0, np.int64), *codes])
+    first = np.zeros(len(tokens), bool)
+    sizes = np.array([len(c) for c in codes], np.int64)
+    first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    length = -(-len(tokens) // width)
+    pad = length * width - len(tokens)
+    x, reset = np.pad(tokens, (0, pad), constant_values=limit), np.pad(first, (0, pad))
+    x, reset = (np.ascontiguousarray(v.reshape(width, length).T) for v in (x, reset))
+    reset[:1] = True
+    return x, reset, np.ascontiguousarray((np.arange(length * width) < len(tokens)).reshape(width, length).T)
+
+
+class Adam:
+    """Steps of Adam on a network, in place. Words and classes outside a window keep their weights and moments in it."""
+
+    def __init__(self, net: Network, rate: float = 0.02, fade: int = 200):
+        self.net, self.rate, self.fade, self.step = net, rate, fade, 0
+        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items()}
+
+    def __call__(self, g: dict, rows: dict, tokens: int):
+        """The rate rises over the first steps and falls with the root of their number after `fade`."""
+        self.step += 1
+        norm = np.sqrt(sum(float(np.vdot(v, v)) for v in g.values())) / tokens
+        scale = min(1.0, 1.0 / max(norm, 1e-12)) / tokens
+        fix = self.rate * min(1.0, self.step / 5, (self.fade / self.step) ** 0.5) * np.sqrt(1 - 0.999**self.step) / (1 - 0.9**self.step)
         for k, v in g.items():
             v *= scale
             at = rows.get(k, slice(None))
-            a, b = first[k][at], second[k][at]
-            a += 0.1 * (v - a)
-            b += 0.001 * (v * v - b)
-            first[k][at], second[k][at] = a, b
-            net.w[k][at] -= fix * a / (np.sqrt(b) + 1e-7)
-    return seen
+            first, second = self.moments[k]
+            a, b = first[at], second[at]
+            a *= 0.9
+            a += 0.1 * v
+            b *= 0.999
+            v *= v
+            v *= 0.001
+            b += v
+            first[at], second[at] = a, b
+            np.sqrt(b, out=b)
+            b += 1e-7
+            a /= b
+            a *= fix
+            self.net.w[k][at] -= a
+
+
+def train_texts(net: Network, codes: list[np.ndarray], adam: Adam | None = None, width: int = 512, steps: int = 16) -> int:
+    """One pass over the texts, in place; the number of tokens. Few tokens go in narrower lanes, so that there are steps to learn in."""
+    adam, tokens = adam or Adam(net), sum(map(len, codes))
+    x, reset, live = stream(codes, net.shape.words, max(1, min(width, tokens // (32 * steps))))
+    h = np.zeros((x.shape[1], net.shape.hidden), np.float32)
+    for at in range(0, len(x), steps):
+        some = slice(at, at + steps)
+        g, rows, h = net.sparse_gradient(x[some], reset[some], live[some], h)
+        adam(g, rows, int(live[some].sum()))
+    return tokens
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The arrays of a column of integer lists, without a Python object for each number."""
+    values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    return [values[a:b].astype(np.int64) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _coder(shared):
+    """Texts as codes of the network, with what needs no network: known words, their logarithms, and the words that the lexicon lacks."""
+
+    def run(batches):
+        lex = shared.value
+        logs, limit = np.append(np.log(lex.counts + SMOOTH), 0.0), lex.shape.words
+        for batch in slices(batches, 1 << 14, 16 << 20):
+            words, n = tokens(batch.column("text"))
+            rank = lex.ranks(words)
+            starts, known = np.cumsum(n) - n, rank >= 0
+            value = logs[rank]  # the last is that of the rank -1
+            rare = rank >= lex.n_words
+            ends = lambda counts: pa.array(np.cumsum([0, *counts]), pa.int32())
+            codes = pa.ListArray.from_arrays(ends(n), pa.array(np.where(known & ~rare, rank, limit).astype(np.int32)))
+            others = pa.ListArray.from_arrays(ends(np.add.reduceat(~known, starts, dtype=np.int64)), words.filter(pa.array(~known)))
+            sums = {"known": known.astype(np.int64), "base": value, "inner": np.where(rare, value - lex.log_rare, 0.0)}
+            out = {"doc_id": batch.column("doc_id"), "codes": codes, **{k: pa.array(np.add.reduceat(v, starts)) for k, v in sums.items()}, "others": others}
+            yield pa.RecordBatch.from_pydict(out)
+
+    return run
 
 
 def _trainer(shared, segment: int):
     def run(batches):
         lex, start = shared.value
         net, seen = Network(lex).load(start), 0
-        for batch in slices(batches, 512):
-            seen += train_texts(net, lex, [lex.codes(t) for t in batch.column("text").to_pylist()])
+        adam = Adam(net)
+        for batch in _gathered(batches):
+            seen += train_texts(net, _lists(batch.column("codes")), adam)
         x = net.vector() if seen else start[:0]
         parts = [x[k : k + segment] for k in range(0, len(x), segment)]
         yield pa.RecordBatch.from_pydict({"part": pa.array(range(len(parts)), pa.int32()), "tokens": pa.array([float(seen)] * len(parts)), "x": pa.array(parts, pa.list_(pa.float32()))})
@@ -314,10 +443,10 @@ def _averaged(batches):
     yield pa.RecordBatch.from_pydict({"part": pa.array(list(total), pa.int32()), "x": pa.array([(v / weight[k]).astype(np.float32) for k, v in total.items()], pa.list_(pa.float32()))})
 
 
-def _gathered(batches, most: int = 16 << 20):
+def _gathered(batches, most: int = 8 << 20):
     """Batches of whole rows joined to about `most` bytes: the more texts run side by side, the fewer steps a long one takes alone."""
     parts, size = [], 0
-    for batch in slices(batches, 512):
+    for batch in slices(batches):
         parts, size = [*parts, batch], size + batch.nbytes
         if size >= most:
             yield pa.concat_batches(parts)
@@ -330,36 +459,21 @@ def _scorer(shared):
     def run(batches):
         lex, weights = shared.value
         net = Network(lex).load(weights)
-        logs = np.log(lex.counts + SMOOTH)
         for batch in _gathered(batches):
-            texts = batch.column("text").to_pylist()
-            codes = [lex.codes(t) for t in texts]
-            model = score_texts(net, lex, codes)
-            base, known, others = [], [], []
-            for k, (t, c) in enumerate(zip(texts, codes, strict=True)):
-                own = c[c >= 0]
-                base.append(float(logs[own].sum()))
-                known.append(len(own))
-                rare = own[own >= lex.n_words]
-                model[k] += logs[rare].sum() - len(rare) * lex.log_rare
-                others.append([w for w in words(t) if w not in lex.index] if len(own) < len(c) else [])
-                if END not in lex.index:
-                    others[-1].append(END)
-            out = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array([len(c) for c in codes], pa.int64()), "known": pa.array(known, pa.int64()), "base": pa.array(base), "model": pa.array(model.tolist(), pa.float64()), "others": pa.array(others, pa.list_(pa.binary()))}
-            yield pa.RecordBatch.from_pydict(out)
+            model = score_texts(net, _lists(batch.column("codes")))
+            rest = {c: batch.column(c) for c in batch.schema.names if c != "codes"}
+            yield pa.RecordBatch.from_pydict(rest | {"model": pa.array(model, pa.float64())})
 
     return run
 
 
-def fit(texts: DataFrame, lex: Lexicon, *, one_in: int = 1, rounds: int = 2, segment: int = 512) -> np.ndarray:
-    """Weights after rounds of local training and averaging over one text in `one_in`, each round with texts of its own."""
-    spark = texts.sparkSession
-    part = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("train")), F.lit(one_in * rounds))
-    sample = written(texts.withColumn("part", part).filter(F.col("part") < rounds).hint("rebalance"))
-    weights = Network(lex).vector()
+def fit(coded: DataFrame, lex: Lexicon, *, rounds: int = 2, segment: int = 512) -> np.ndarray:
+    """Weights after rounds of local training and averaging over all texts of `coded` (row, codes), each round with texts of its own."""
+    spark, weights = coded.sparkSession, Network(lex).vector()
     for r in range(rounds):
-        shared = spark.sparkContext.broadcast((lex, weights))
-        got = sample.filter(F.col("part") == r).select("text").mapInArrow(_trainer(shared, segment), "part int, tokens double, x array<float>")
+        shared = spark.sparkContext.broadcast((lex.bare(), weights))
+        texts = coded.filter(F.pmod(F.xxhash64("row", F.lit("train")), F.lit(rounds)) == r)
+        got = texts.select("codes").mapInArrow(_trainer(shared, segment), "part int, tokens double, x array<float>")
         mean = got.repartition("part").mapInArrow(_averaged, "part int, x array<float>").toArrow()
         if mean.num_rows:
             weights = np.empty_like(weights)
@@ -369,7 +483,7 @@ def fit(texts: DataFrame, lex: Lexicon, *, one_in: int = 1, rounds: int = 2, seg
     return weights
 
 
-def document_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, folds: int = 10, cache: int = 1 << 17, shape: Shape | None = None, one_in: int = 1, rounds: int = 2) -> DataFrame:
+def document_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, folds: int = 10, cache: int = 1 << 19, shape: Shape | None = None, rounds: int = 2) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of probabilities).
 
     Texts whose crc32(id) mod `folds` is not 0 are learnt from; a null id counts as empty text. A null text is empty: its one token is
@@ -377,19 +491,21 @@ def document_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     those of the smoothing alone. Other columns are ignored.
     """
     texts, spark = narrow(docs, id_col, text_col), docs.sparkSession
-    training = texts.filter(fold_of("doc_id", folds) != 0)
-    counts = written(word_counts(training))
+    counts = written(word_counts(texts.filter(fold_of("doc_id", folds) != 0)))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ranked = counts.filter(F.length("word") <= MAX_WORD).orderBy(F.desc("c"), "word").limit(cache).toArrow()
+    ranked = counts.orderBy(F.desc("c"), "word").limit(cache).toArrow()
     lex = Lexicon(ranked["word"].to_pylist(), ranked["c"].to_numpy().astype(np.float64), total, distinct, shape or grown(total, cache))
-    weights = fit(training, lex, one_in=one_in, rounds=rounds)
-    shared = spark.sparkContext.broadcast((lex, weights))
-    schema = f"doc_id {dict(texts.dtypes)['doc_id']}, n_tokens long, known long, base double, model double, others array<binary>"
-    rows = written(texts.mapInArrow(_scorer(shared), schema).withColumn("row", F.monotonically_increasing_id()))
-    rare = rows.select("row", F.explode("others").alias("word")).join(counts, "word", "left")
+    shared = spark.sparkContext.broadcast(lex)
+    id_type = dict(texts.dtypes)["doc_id"]
+    coded = texts.mapInArrow(_coder(shared), f"doc_id {id_type}, codes array<int>, known long, base double, inner double, others array<binary>")
+    coded = written(coded.withColumn("row", F.monotonically_increasing_id()))
+    weights = spark.sparkContext.broadcast((lex.bare(), fit(coded.filter(fold_of("doc_id", folds) != 0), lex, rounds=rounds)))
+    whole = coded.select("row", "doc_id", F.size("codes").cast("long").alias("n_tokens"), "known", "base", "inner", "codes")
+    rows = whole.mapInArrow(_scorer(weights), f"row long, doc_id {id_type}, n_tokens long, known long, base double, inner double, model double")
+    rare = coded.select("row", F.explode("others").alias("word")).join(counts, "word", "left")
     log_c = F.log(F.coalesce("c", F.lit(0)) + F.lit(SMOOTH))
     rare = rare.groupBy("row").agg(F.count("*").alias("n_other"), F.count("c").alias("more"), F.sum(log_c).alias("log_c"))
-    rest = rows.drop("others").join(rare, "row", "left").na.fill(0, ["n_other", "more"]).na.fill(0.0, ["log_c"])
+    rest = rows.join(rare, "row", "left").na.fill(0, ["n_other", "more"]).na.fill(0.0, ["log_c"])
     base = (F.col("base") + F.col("log_c") - F.col("n_tokens") * F.lit(float(lex.log_all))) / _LOG10
-    score = (F.col("model") + F.col("log_c") - F.col("n_other") * F.lit(float(lex.log_rare))) / _LOG10
+    score = (F.col("model") + F.col("inner") + F.col("log_c") - F.col("n_other") * F.lit(float(lex.log_rare))) / _LOG10
     return rest.select("doc_id", (fold_of("doc_id", folds) == 0).alias("held_out"), "n_tokens", (F.col("known") + F.col("more")).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))

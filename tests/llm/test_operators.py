@@ -166,7 +166,7 @@ def test_language_id(spark, docs, none):
 def test_language_model(docs, none, spark):
     rows = [(i, "a b c d " * 30 if i % 2 else "x y z w " * 30) for i in range(60)] + [(99, "never seen words"), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = language_model.document_scores(df, shape=language_model.Shape(2, 3, 8, 8), one_in=1, rounds=2, cache=5).collect()
+    got = language_model.document_scores(df, shape=language_model.Shape(2, 3, 8, 8), rounds=2, cache=5).collect()
     assert len(got) == len(rows) and np.mean([r.score > r.base_score for r in got if (r.n_tokens or 0) > 5]) > 0.9
     assert language_model.document_scores(docs).count() == len(TEXTS) and language_model.document_scores(none).collect() == []
 
@@ -176,7 +176,8 @@ def test_language_model_learns_from_all_texts(spark):
         got = language_model.document_scores(spark.createDataFrame([(k, "a b c d e f g h " * 20)], "doc_id long, text string")).first()
         assert not got.held_out and got.score > got.base_score + 1, k
     assert language_model.grown(1000, 1 << 17) == language_model.Shape()
-    assert [language_model.grown(n, 1 << 17).words for n in (10**8, 10**12)] == [9984, 1 << 17]
+    assert language_model.grown(10**8, 1 << 17).per_class == 100
+    assert [language_model.grown(n, 1 << 17).words for n in (10**8, 10**12)] == [100 * 100, 362 * 362]
 
 
 def test_language_model_gradient_and_sum():
