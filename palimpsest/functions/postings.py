@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: First byte of a coded list (fixed value).
 VERSION = 1
+_LISTS = pa.list_(pa.struct([("docnum", pa.decimal128(20, 0)), ("weight", pa.int64())]))
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -23,47 +25,77 @@ def gather(rows: DataFrame, block: int = 1 << 16) -> DataFrame:
     return rows.groupBy("term", at).agg(F.array_sort(F.collect_list(F.struct("docnum", "weight"))).alias("list"))
 
 
-def _varint(n: int) -> bytes:
-    """Seven bits a byte from the lowest, the top bit set on all but the last."""
-    low = [n >> at & 127 for at in range(0, max(n.bit_length(), 1), 7)]
-    return bytes([*(b | 128 for b in low[:-1]), low[-1]])
-
-
-def encode_list(rows) -> bytes | None:
-    """Version, number of postings, then for each the step from the docnum before (modulo 2**64) and the weight; null for null."""
-    if rows is None:
-        return None
-    numbers, last = [len(rows)], 0
-    for docnum, weight in rows:
-        numbers += [(int(docnum) - last) % 2**64, int(weight)]
-        last = int(docnum)
-    return bytes([VERSION]) + b"".join(map(_varint, numbers))
-
-
-def decode_list(data: bytes | None) -> list[tuple[Decimal, int]] | None:
-    """What encode_list was given; an error for anything else."""
-    if data is None:
-        return None
-    numbers, value, bits = [], 0, 0
-    for b in data[1:]:
-        value, bits = value | (b & 127) << bits, bits + 7
-        if b < 128:
-            numbers.append(value)
-            value = bits = 0
-    if data[:1] != bytes([VERSION]) or bits or not numbers or len(numbers) != 2 * numbers[0] + 1 or max(numbers) >= 2**64:
-        raise ValueError("CORRUPT: not a coded posting list")
-    out, docnum = [], 0
-    for step, weight in zip(numbers[1::2], numbers[2::2], strict=True):
-        docnum = (docnum + step) % 2**64
-        out.append((Decimal(docnum), weight))
-    return out
+def _varints(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all numbers, seven bits a byte from the lowest, the top bit set on all but a number's last; and how many each has."""
+    size = 1 + sum((n >> np.uint64(7 * k) > 0).astype(np.int64) for k in range(1, 10))
+    start, out = np.cumsum(size) - size, np.zeros(size.sum(), np.uint8)
+    for k in range(10):
+        has = size > k
+        out[start[has] + k] = (n[has] >> np.uint64(7 * k)) & np.uint64(127) | np.where(size[has] > k + 1, np.uint64(128), np.uint64(0))
+    return out, size
+
+
+def encode_lists(lists: pa.Array) -> pa.Array:
+    """For each list: version, number of postings, then for each posting the step from the docnum before (modulo 2**64) and the weight;
+    null for null. All lists of a batch at once."""
+    n = np.array(lists.value_lengths().fill_null(0).to_numpy(), np.int64)
+    flat = lists.flatten()
+    docnum, weight = (flat.field(k) for k in ("docnum", "weight"))
+    docnum = (docnum.cast(pa.uint64()) if pa.types.is_decimal(docnum.type) else docnum.cast(pa.int64())).to_numpy().astype(np.uint64)
+    first = np.cumsum(n) - n
+    before = np.concatenate([docnum[:0], [np.uint64(0)], docnum[:-1]])[: len(docnum)]
+    before[first[n > 0]] = 0
+    numbers, head = np.empty(2 * len(n) + 2 * len(docnum), np.uint64), 2 * first + 2 * np.arange(len(n))
+    body = np.ones(len(numbers), bool)
+    body[head] = body[head + 1] = False
+    numbers[head], numbers[head + 1] = VERSION, n
+    inner = np.flatnonzero(body)
+    numbers[inner[0::2]], numbers[inner[1::2]] = docnum - before, weight.to_numpy().astype(np.uint64)
+    data, size = _varints(numbers)
+    ends = np.concatenate([[0], np.cumsum(np.add.reduceat(size, head))]) if len(n) else np.zeros(1, np.int64)
+    out = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+    return pc.if_else(lists.is_valid(), out, None)
+
+
+def decode_lists(data: pa.Array) -> pa.Array:
+    """What encode_lists was given; an error for anything else."""
+    known = data.drop_null()
+    sizes = np.array(pc.binary_length(known).to_numpy(), np.int64)
+    raw = np.frombuffer(b"".join(known.to_pylist()), np.uint8)
+    bad = ValueError("CORRUPT: not a coded posting list")
+    last, end = raw < 128, np.cumsum(sizes)
+    if not sizes.all() or not last[end - 1].all():
+        raise bad
+    stop = np.flatnonzero(last)
+    start = np.concatenate([[0], stop[:-1] + 1]).astype(np.int64)[: len(stop)]
+    place = np.arange(len(raw)) - np.repeat(start, stop - start + 1)
+    if (place > 9).any() or (raw[place == 9] > 1).any():
+        raise bad
+    value = np.add.reduceat((raw & 127).astype(np.uint64) << (7 * place).astype(np.uint64), start) if len(raw) else np.empty(0, np.uint64)
+    after = np.searchsorted(stop, end - 1) + 1  # numbers up to each list's end
+    count = np.diff(after, prepend=0)
+    head = after - count
+    if (count < 2).any() or (raw[end - sizes] != VERSION).any() or (value[head + 1] != (count - 2) // 2).any() or (count % 2).any():
+        raise bad
+    inner = np.ones(len(value), bool)
+    inner[head] = inner[head + 1] = False
+    step, weight, n = value[inner][0::2], value[inner][1::2], (count - 2) // 2
+    if (weight >> np.uint64(63)).any():
+        raise bad
+    total = np.concatenate([[np.uint64(0)], np.cumsum(step, dtype=np.uint64)])
+    docnum = total[1:] - np.repeat(total[np.cumsum(n) - n], n)
+    items = pa.StructArray.from_arrays([pa.array(docnum, pa.uint64()).cast(pa.decimal128(20, 0)), pa.array(weight.astype(np.int64))], fields=list(_LISTS.value_type))
+    full = np.zeros(len(data), np.int64)
+    full[data.is_valid().to_numpy(zero_copy_only=False)] = n
+    offsets = pa.array(np.concatenate([[0], np.cumsum(full)]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, items, type=_LISTS, mask=data.is_null())
 
 
 def encode(rows: Column) -> Column:
-    """Arrays of (docnum, weight) as bytes; transfer is by Arrow batches."""
-    return F.udf(encode_list, "binary", useArrow=True)(rows)
+    """Arrays of (docnum, weight) as bytes, a batch at a time."""
+    return F.arrow_udf(encode_lists, "binary")(rows)
 
 
 def decode(data: Column) -> Column:
-    """Bytes back as arrays of (docnum, weight)."""
-    return F.udf(decode_list, "array<struct<docnum: decimal(20,0), weight: bigint>>", useArrow=True)(data)
+    """Bytes back as arrays of (docnum, weight), a batch at a time."""
+    return F.arrow_udf(decode_lists, "array<struct<docnum: decimal(20,0), weight: bigint>>")(data)

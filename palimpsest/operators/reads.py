@@ -27,3 +27,12 @@ def locate(df: DataFrame, value: str, least: int = 4096) -> DataFrame:
     """Adds n_bytes and large, whether the value is read better by place than inline; value is null for large rows."""
     sized = df.withColumn("n_bytes", F.octet_length(value).cast("long")).withColumn("large", F.col("n_bytes") >= least)
     return sized.withColumn(value, F.when(~F.col("large"), F.col(value)))
+
+
+def locate_newest(versions: DataFrame, value: str, key: str = "key", least: int = 4096) -> DataFrame:
+    """(key, n_bytes, large, value, and file and row where the versions have them) of each key's newest version, for put-only spaces of large
+    values: the place where large, the value where not. A delete on top gives nothing, a merge on top is an error."""
+    rest = [c for c in versions.columns if c not in (key, "prec")]
+    top = versions.groupBy(key).agg(F.min_by(F.struct(*rest), "prec").alias("x")).select(key, "x.*")
+    put = F.when(F.col("kind") == 3, F.raise_error(F.lit("CORRUPT: a merge entry under a located key"))).otherwise(F.col("kind") == 1)
+    return locate(top.filter(put).drop("kind"), value, least)

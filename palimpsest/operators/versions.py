@@ -32,19 +32,32 @@ def with_precedence(df: DataFrame, key: str, newest_first: Column) -> DataFrame:
     return df.withColumn("prec", F.row_number().over(Window.partitionBy(key).orderBy(newest_first)) - 1)
 
 
+def ends(versions: DataFrame, key: str = "key") -> DataFrame:
+    """(_key, _end, _n) for each key: the prec of its newest put or delete, null if it has none, and the number of its versions. Sums are
+    partial before the shuffle, so a hot key costs each task one row."""
+    return versions.groupBy(F.col(key).alias("_key")).agg(F.min(F.when(F.col("kind") != MERGE, F.col("prec"))).alias("_end"), F.count("*").alias("_n"))
+
+
+def merge_order(versions: DataFrame, key: str = "key") -> DataFrame:
+    """All versions in the order of a merge, by key and then from the newest on: ranges of keys, sorted inside."""
+    return versions.repartitionByRange(key).sortWithinPartitions(key, "prec")
+
+
 def live(versions: DataFrame, key: str = "key") -> DataFrame:
-    """The versions that a fold sees: down to the newest put or delete, that one included."""
-    end = F.min(F.when(F.col("kind") != MERGE, F.col("prec"))).over(Window.partitionBy(key))
-    return versions.withColumn("_end", end).filter("_end is null or prec <= _end").drop("_end")
+    """The versions that a fold sees: down to the newest put or delete, that one included. No window: a hot key is streamed, not buffered,
+    and its join may be split as a skewed one."""
+    both = versions.join(ends(versions, key), F.col(key).eqNullSafe(F.col("_key")))
+    return both.filter("_end is null or prec <= _end").select(*versions.columns)
 
 
 def live_dealt(versions: DataFrame, key: str = "key") -> DataFrame:
-    """As live, without a window: the versions of a key with more than DEALT of them are dealt over tasks, which the column _deal tells apart."""
-    ends = versions.groupBy(F.col(key).alias("_key")).agg(F.min(F.when(F.col("kind") != MERGE, F.col("prec"))).alias("_end"), F.ceil(F.count("*") / DEALT).alias("_deals"))
-    hot = ends.filter("_deals > 1").select(F.col("_key").alias("_hot"), F.col("_deals").alias("_among"))
-    dealt = versions.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot")), "left").withColumn("_deal", F.pmod(F.xxhash64("prec"), F.coalesce("_among", F.lit(1))))
-    ends = ends.select("_key", "_end", F.explode(F.sequence(F.lit(0), F.col("_deals") - 1)).alias("_of"))
-    both = dealt.join(ends, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_deal") == F.col("_of")))
+    """As live, but the versions of a key with more than DEALT of them are dealt over tasks, which the column _deal tells apart. Whether the
+    table of such keys is broadcast is left to Spark, which knows its size."""
+    found = ends(versions, key).select("_key", "_end", F.ceil(F.col("_n") / DEALT).alias("_deals"))
+    hot = found.filter("_deals > 1").select(F.col("_key").alias("_hot"), F.col("_deals").alias("_among"))
+    dealt = versions.join(hot, F.col(key).eqNullSafe(F.col("_hot")), "left").withColumn("_deal", F.pmod(F.xxhash64("prec"), F.coalesce("_among", F.lit(1))))
+    found = found.select("_key", "_end", F.explode(F.sequence(F.lit(0), F.col("_deals") - 1)).alias("_of"))
+    both = dealt.join(found, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_deal") == F.col("_of")))
     return both.filter("_end is null or prec <= _end").select(*versions.columns, "_deal")
 
 
@@ -64,21 +77,27 @@ def resolve_sets(versions: DataFrame, key: str = "key", *, bottom: bool) -> Data
     """(key, kind, add, rem) of set-valued histories (key, prec, kind, add, rem): arrays of members.
 
     A put's set is its add. A merge takes rem away and then puts add in. Per member the newest mention decides, and add wins within one
-    version, so members are folded by aggregation and a hot key needs no buffer of its versions. With bottom only non-deleted puts
-    remain; else merges with nothing beneath stay one merge. A set that merges leave empty is a delete; a put of an empty set stays.
+    version. With bottom only non-deleted puts remain; else merges with nothing beneath stay one merge. A set that merges leave empty is a
+    delete; a put of an empty set stays.
+
+    One scan and two aggregations with partial sums: by (key, member), where each version also counts under no member, and by key, which
+    gathers distinct members alone. What is shadowed falls out last: a member is live if its newest mention is no older than the key's end.
     """
-    seen = live(versions, key)
-    flags = seen.groupBy(key).agg(*(F.max((F.col("kind") == k).cast("int")).alias(n) for k, n in ((MERGE, "ops"), (PUT, "base"), (DELETE, "dead"))))
-    mention = F.concat(F.transform(F.coalesce("add", F.array().cast("array<bigint>")), lambda m: F.struct(m.alias("m"), F.lit(1).alias("s"))), F.transform(F.coalesce("rem", F.array().cast("array<bigint>")), lambda m: F.struct(m.alias("m"), F.lit(0).alias("s"))))
-    each = seen.filter(F.col("kind") != DELETE).select(key, "prec", F.explode(mention).alias("x")).select(key, "prec", "x.m", "x.s")
-    newest = each.groupBy(key, "m").agg(F.max(F.struct(-F.col("prec"), "s")).getField("s").alias("s"))
-    sides = newest.groupBy(key).agg(*(F.array_sort(F.collect_list(F.when(F.col("s") == v, F.col("m")))).alias(n) for v, n in ((1, "add"), (0, "rem"))))
     none = F.array().cast("array<bigint>")
-    both = flags.join(sides, key, "left").withColumn("add", F.coalesce("add", none)).withColumn("rem", F.coalesce("rem", none))
-    open_ = (F.col("ops") == 1) & (F.col("base") == 0) & (F.col("dead") == 0) & F.lit(not bottom)
-    kind = F.when(F.col("ops") == 0, F.when(F.col("base") == 1, PUT).otherwise(DELETE)).when(open_, MERGE).when(F.size("add") > 0, PUT).otherwise(DELETE)
-    out = both.withColumn("kind", kind).withColumn("rem", F.when(F.col("kind") == MERGE, F.col("rem")).otherwise(none))
-    out = out.withColumn("add", F.when(F.col("kind") == DELETE, none).otherwise(F.col("add"))).select(key, "kind", "add", "rem")
+    said = lambda c, s: F.transform(F.coalesce(c, none), lambda m: F.struct(m.alias("m"), F.lit(s).alias("s")))
+    mentions = F.when(F.col("kind") != DELETE, F.concat(said("add", 1), said("rem", 0))).otherwise(said(none, 0))
+    marker = F.array(F.struct(F.lit(None).cast("bigint").alias("m"), F.lit(-1).alias("s")))
+    each = versions.select(key, "prec", "kind", F.explode(F.concat(marker, F.filter(mentions, lambda x: x["m"].isNotNull()))).alias("x")).select(key, "prec", "kind", "x.m", "x.s")
+    mark, settled = F.col("s") == -1, F.col("kind") != MERGE
+    newest = each.groupBy(key, "m").agg(F.max(F.when(~mark, F.struct((-F.col("prec")).alias("at"), "s"))).alias("said"), F.min(F.when(mark & settled, F.struct("prec", "kind"))).alias("end"), F.min(F.when(mark & ~settled, F.col("prec"))).alias("op"))
+    parts = newest.groupBy(key).agg(F.min("end").alias("end"), F.min("op").alias("op"), F.collect_list(F.when(F.col("m").isNotNull(), F.struct("m", "said"))).alias("members"))
+    ended = F.col("end.prec")
+    side = lambda s: F.array_sort(F.transform(F.filter("members", lambda x: (x["said"]["s"] == s) & (ended.isNull() | (-x["said"]["at"] <= ended))), lambda x: x["m"]))
+    both = parts.select(key, F.col("end.kind").alias("under"), (F.col("op").isNotNull() & (ended.isNull() | (F.col("op") < ended))).alias("ops"), side(1).alias("add"), side(0).alias("rem"))
+    open_ = F.col("ops") & F.col("under").isNull() & F.lit(not bottom)
+    kind = F.when(~F.col("ops"), F.col("under")).when(open_, MERGE).when(F.size("add") > 0, PUT).otherwise(DELETE)
+    out = both.withColumn("kind", kind.cast("int"))
+    out = out.select(key, "kind", F.when(F.col("kind") == DELETE, none).otherwise(F.col("add")).alias("add"), F.when(F.col("kind") == MERGE, F.col("rem")).otherwise(none).alias("rem"))
     return out.filter(F.col("kind") == PUT) if bottom else out
 
 

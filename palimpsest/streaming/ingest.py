@@ -9,16 +9,12 @@ from palimpsest.sources.tables import flush
 
 
 def flush_batches(stream: DataFrame, folder: str, checkpoint: str, key: str = "key", order: str = "seq"):
-    """A query that writes table `folder`/seq=<n> for each micro-batch: of each key the last entry by `order`. A batch that is tried again replaces nothing:
-    its table is written once, under a name that its number gives."""
+    """A query that writes table `folder`/seq=<n> for each micro-batch: of each key the last entry by `order`. A batch that is tried again
+    has the same rows and the same number, so it writes its table anew: half-written ones are replaced, whole ones stay as they were."""
 
     def one(batch: DataFrame, n: int) -> None:
         rest = [c for c in batch.columns if c != key]
         last = batch.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("x")).select(key, "x.*")
-        path = f"{folder}/seq={n:020d}"
-        jvm = batch.sparkSession._jvm
-        place = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        if not place.getFileSystem(batch.sparkSession._jsc.hadoopConfiguration()).exists(place):
-            flush(last, path, key)
+        flush(last, f"{folder}/seq={n:020d}", key, mode="overwrite")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
