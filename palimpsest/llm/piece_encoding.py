@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
-from itertools import chain
+from itertools import chain, count, groupby
 
 import ahocorasick
 import numpy as np
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from palimpsest.llm.common import narrow, slices
-from palimpsest.llm.pieces import Memo, Vocabulary
+from palimpsest.llm.pieces import MERGES, Memo, Vocabulary
 
 _NO_LIMIT = 1 << 60
 
@@ -28,6 +28,8 @@ _NO_LIMIT = 1 << 60
 class MergeEncoder:
     def __init__(self, path: str, memo: int = 500_000):
         self.v = v = Vocabulary(path)
+        if v.kind != MERGES:
+            raise ValueError("not supported: a vocabulary without merges")
         # Merges go by score, best first; single characters need none.
         order = {s: k + 1 for k, s in enumerate(sorted({v.score[i] for i in v.normal if len(v.text[i]) > 1}, reverse=True))}
         self.rank = {i: order[v.score[i]] if len(v.text[i]) > 1 else 0 for i in v.normal}
@@ -130,9 +132,18 @@ class MergeEncoder:
         self.odd.clear()
         get, atoms = self.by_atom.get, self.v.atoms(text)
         ids = ",".join([get(a) or self.ids_of(a) for a in atoms])
+        if self.odd and not self.v.by_bytes:
+            return self.joined(ids)
         if self.odd:
             atoms = [self.odd.get(a, a) for a in atoms]
-        return ids.count(",") + 1, ids, "".join(atoms)[1:]
+        return ids.count(",") + 1, ids, "".join(atoms)[len(self.v.prefix) :]
+
+    def joined(self, ids: str) -> tuple[int, str, str]:
+        """As encode, of ids some of which are unknown: neighbouring ones become one."""
+        own = [i for i, _ in groupby(map(int, ids.split(",")), lambda i, n=count(): (i, -1 if i == self.v.unknown else next(n)))]
+        own = [i for i, _ in own]
+        text = self.v.decode(own)
+        return len(own), ",".join(map(str, own)), text[len(self.v.prefix) :] if text.startswith(" ") or not self.v.prefix else text
 
 
 _ENCODERS: dict[str, MergeEncoder] = {}

@@ -4,15 +4,21 @@ An Aho-Corasick automaton enumerates the vocabulary's matches; for each end of a
 its number of pieces are kept, and no path. Ties go as in the library: it extends paths from left to right and replaces
 the one that it has only by a better one, so of equal scores the one whose last piece begins furthest left stays.
 
-Texts are scored word by word (no piece crosses a cut), in double precision. The library adds single-precision scores over the
-whole text; the two agree as long as its sums are exact.
-
-Scale: narrow, no shuffle; each text on its own. Repeated words are looked up in bounded tables.
+The library keeps sums in single precision and, where the sum up to a character is more than REBASE from zero, counts on from zero there,
+with all sums behind it less by as much. So a tie or a near tie may hang on what stands before it. What does not is looked up by word:
+with scores that are whole multiples of one unit, none very low, all sums are exact; else, a word whose best path leads by more than
+rounding can move keeps that path. For any other word the same sums are formed as in the library, rounding included, from the sum
+before it. A vocabulary of merges has a few very low scores, at which a word's sums lose what is less than their last place: there a
+word's count depends on the sum before it modulo that place, and is looked up by both.
+
+Scale: narrow, no shuffle; each text on its own, whole. Words are looked up in bounded tables.
 """
 
 from __future__ import annotations
 
 import gc
+import struct
+from math import frexp, inf
 
 import ahocorasick
 import pyarrow as pa
@@ -23,41 +29,121 @@ from palimpsest.llm.pieces import Memo, Vocabulary
 
 #: What the library takes off the lowest score for a character that no piece holds (fixed value).
 UNKNOWN_PENALTY = 10.0
+_SINGLE = struct.Struct("f")
+#: Sums of up to this many units are exact in single precision.
+_EXACT = 1 << 24
+#: How far from zero the library lets a sum go (fixed value).
+REBASE = 100_000.0
+
+
+def single(x: float) -> float:
+    """x rounded to single precision."""
+    return _SINGLE.unpack(_SINGLE.pack(x))[0]
 
 
 class Counter:
-    def __init__(self, path: str, memo: int = 500_000):
+    def __init__(self, path: str, memo: int = 400_000):
         self.v = v = Vocabulary(path)
         self.automaton = ahocorasick.Automaton()
         for i in v.normal:
             self.automaton.add_word(v.text[i], (len(v.text[i]), v.score[i]))
         self.automaton.make_automaton()
-        self.unknown = min(v.score[i] for i in v.normal) - UNKNOWN_PENALTY
+        self.unknown = single(min(v.score[i] for i in v.normal) - UNKNOWN_PENALTY)
         self.known = {p for p in v.id_of if len(p) == 1}
-        self.by_atom = Memo(memo)
-
-    def atom(self, text: str) -> int:
-        n = len(text)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(text):
-            ends[end].append(match)
-        score, count = [0.0] * (n + 1), [0] * (n + 1)
-        for end in range(n):
-            best, pieces = None, 0
-            found = ends[end]
+        scores = [self.unknown, *(v.score[i] for i in v.normal)]
+        usual = [x for x in scores if abs(x) <= REBASE] or [0.0]
+        #: whether sums of usual scores are exact: all in one unit, few of them
+        self.unit = max(x.as_integer_ratio()[1] for x in usual)
+        self.grid = 4 * REBASE * self.unit <= _EXACT
+        self.exact = self.grid and len(usual) == len(scores)
+        self.place = 2.0 ** (frexp(max(map(abs, scores)) + REBASE)[1] - 24)  # the last place of the lowest sums
+        low = [abs(x) for x in scores if abs(x) > REBASE]
+        one_place = bool(low) and len({frexp(x + d * REBASE)[1] for x in low for d in (-4, 4)}) == 1  # so that all low sums are rounded alike
+        self.slots = int(self.place * self.unit) if self.grid and one_place and self.place * self.unit <= 256 else 0
+        self.limit = _EXACT / self.unit if self.grid else 0.0
+        self.by_atom, self.by_place = Memo(memo), Memo(memo // 2)
+
+    def matches(self, text: str) -> list[list[tuple[int, float, int]]]:
+        """For each end the pieces (start, score, ids) that end there, the longest first; ids is 0 for an unknown character that
+        is one of a run."""
+        ends: list[list[tuple[int, float, int]]] = [[] for _ in text]
+        for end, (size, score) in self.automaton.iter(text):
+            ends[end].append((end + 1 - size, score, 1))
+        for end, found in enumerate(ends):
             if text[end] not in self.known:
-                found = [*found, (1, self.unknown)]
-            found.sort(reverse=True)  # the longest first: of equal scores it stays
-            for size, own in found:
-                total = score[end + 1 - size] + own
-                if best is None or total > best:
-                    best = total
-                    more = 1 if size > 1 or text[end] in self.known else len(self.v.bytes_of(text[end]))
-                    pieces = count[end + 1 - size] + more
-            score[end + 1], count[end + 1] = best, pieces
-        return count[n]
-
-    def count_of(self, atom: str) -> int:
+                found.append((end, self.unknown, len(text[end].encode()) if self.v.by_bytes else 0))
+            if len(found) > 1:
+                found.sort()
+        return ends
+
+    def atom(self, text: str) -> tuple:
+        """(ids, lead, lowest, path) of a word by exact sums: its ids (see runs), by how much its best path leads any other, the sum that is
+        furthest from zero at any character, and the scores of that path."""
+        best, second, back = [0.0], [-inf], [None]
+        for found in self.matches(text):
+            first, next_, via = -inf, -inf, None
+            for start, score, n in found:
+                total = best[start] + score
+                if total > first or via is None:
+                    first, next_, via = total, first, (start, score, n)
+                elif total > next_:
+                    next_ = total
+            best.append(first)
+            second.append(max(next_, *(second[b] + x for b, x, _ in found)))
+            back.append(via)
+        at, path, ids = len(text), [], []
+        while at:
+            at, score, n = back[at]
+            path.append(score)
+            ids.append(n)
+        return self.runs(ids[::-1]), best[-1] - second[-1], max(map(abs, best)), path[::-1]
+
+    def runs(self, ids: list[int]) -> tuple[int, bool, bool]:
+        """Number of ids, a run of unknown characters being one, and whether such a run stands first and last."""
+        if 0 not in ids:
+            return sum(ids), False, False
+        more = sum(n == 0 and (k == 0 or ids[k - 1] != 0) for k, n in enumerate(ids))
+        return sum(ids) + more, ids[0] == 0, ids[-1] == 0
+
+    def program(self, text: str) -> list[list[tuple[int, float, int]]]:
+        """For each start the pieces (end, score, ids) that begin there, the shortest first."""
+        program: list = [[] for _ in text]
+        for end, (size, score) in self.automaton.iter(text):
+            program[end + 1 - size].append((end + 1, score, 1))
+        if not self.known.issuperset(text):
+            for start, char in enumerate(text):
+                if char not in self.known:
+                    program[start].insert(0, (start + 1, self.unknown, len(char.encode()) if self.v.by_bytes else 0))
+        return program
+
+    def rounded(self, text: str, before: float, program=None) -> tuple[tuple[int, bool, bool], float]:
+        """The ids of a word and the sum behind it, all sums as the library forms them behind the sum `before`."""
+        program = program or self.program(text)
+        size, far, exact = len(text), 0, self.limit
+        best, back = [before, *[None] * size], [None] * (size + 1)
+        for at in range(size):
+            sum_ = best[at]
+            if sum_ < -REBASE or sum_ > REBASE:
+                for k in range(at + 1, far + 1):
+                    if best[k] is not None:
+                        moved = best[k] - sum_
+                        best[k] = moved if -exact < moved < exact else single(moved)
+                sum_ = 0.0
+            for end, score, n in program[at]:
+                total, old = sum_ + score, best[end]
+                if not -exact < total < exact:
+                    total = single(total)
+                if old is None or total > old:
+                    best[end], back[end] = total, (at, n)
+                    if end > far:
+                        far = end
+        at, ids = size, []
+        while at:
+            at, n = back[at]
+            ids.append(n)
+        return self.runs(ids[::-1]), best[-1]
+
+    def entry(self, atom: str) -> tuple:
         got = self.by_atom.find(atom)
         if got is None:
             got = self.atom(atom)
@@ -66,17 +152,80 @@ class Counter:
         return got
 
     def count(self, text: str | None) -> int:
-        get = self.by_atom.get
-        return sum([get(a) or self.count_of(a) for a in self.v.atoms(text or "")])
+        atoms, get, entry = self.v.atoms(text or ""), self.by_atom.get, self.entry
+        if self.exact:
+            return self.total([(get(a) or entry(a))[0] for a in atoms])
+        return self.total(self.walk(atoms))
+
+    def total(self, runs: list[tuple[int, bool, bool]]) -> int:
+        n = sum([r[0] for r in runs])
+        return n if self.v.by_bytes else n - sum(a[2] and b[1] for a, b in zip(runs[:-1], runs[1:], strict=True))
+
+    def walk(self, atoms: list[str]) -> list[tuple[int, bool, bool]]:
+        """The ids of each word, the sums being those of the library from the first word on."""
+        out, sum_, slot, get = [], 0.0, 0, self.by_place.get
+        for atom in atoms:
+            if (known := get(atom)) and (k := known[0][slot]):
+                ids, sum_, slot = known[1][k]
+            else:
+                ids, sum_, slot = self.behind(atom, sum_)
+            out.append(ids)
+        return out
+
+    def settled(self, ids: tuple[int, bool, bool], sum_: float) -> tuple[tuple[int, bool, bool], float, int]:
+        """The ids of a word, the sum that the next one starts from, and its place in numbers (see behind)."""
+        sum_ = 0.0 if sum_ < -REBASE or sum_ > REBASE else sum_
+        return ids, sum_, int(sum_ % self.place * self.unit) if self.slots else 0
+
+    def behind(self, atom: str, before: float) -> tuple[tuple[int, bool, bool], float, int]:
+        """What settled gives for a word behind the sum `before`."""
+        if self.slots and len(atom) <= 64 and abs(low := self.first(atom[0])) > 4 * REBASE:
+            # The first character alone leaves the range from wherever it starts, so behind it sums count from there: all that they keep
+            # of `before` is how those of the word's first pieces are rounded.
+            program = None
+            if (known := self.by_place.find(atom)) is None:
+                program = self.program(atom)
+                known = (bytearray(self.slots), [None], [None], [score for _, score, _ in program[0][1:]])
+                self.by_place.put(atom, known)
+            numbers, results, cases, scores = known
+            rest, unit = before % self.place, self.unit
+            at, half, to_even = int(rest * unit), self.place / 2, 1.5 * 2**52 * self.place
+            if not numbers[at]:
+                exact = [rest - single(rest + low) + score for score in scores]
+                case = [x + to_even - to_even for x in exact]  # rounded to the last place of such sums
+                if case not in cases:
+                    if len(cases) > 255:
+                        return self.settled(*self.rounded(atom, before, program))
+                    cases.append(case)
+                    results.append(self.settled(*self.rounded(atom, before, program)))
+                # the same holds as far as no sum comes to the middle between two places
+                off = [x - y for x, y in zip(exact, case, strict=True)] + [rest if rest < half else rest - self.place if rest > half else half]
+                first, last = at - int((half + min(off)) * unit) + 1, at + int((half - max(off)) * unit) - 1
+                first, last = max(min(first, at), 0), min(max(last, at), self.slots - 1)
+                numbers[first : last + 1] = bytes([cases.index(case)]) * (last + 1 - first)
+            return results[numbers[at]]
+        ids, lead, lowest, path = self.entry(atom)
+        size = abs(before) + lowest
+        # no sum leaves the range, and two paths' sums are each off by at most 2 ** -24 of their size at each of their characters
+        if size < REBASE and lead > len(atom) * 2.0**-22 * size:
+            for score in path:
+                before = single(before + score)
+            return self.settled(ids, before)
+        return self.settled(*self.rounded(atom, before))
+
+    def first(self, char: str) -> float:
+        return self.v.score[self.v.id_of[char]] if char in self.known else self.unknown
 
 
 _COUNTERS: dict[str, Counter] = {}
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens, n_chars (code points), of the vocabulary at `path` read as a unigram one.
+    """One row per row of docs: doc_id, n_tokens, n_chars (code points), of the vocabulary at `path`, one of merges being read as a
+    unigram one.
 
-    A null or empty text has no tokens. Repeated rows each get a row, whatever their id. Other columns are ignored.
+    n_tokens is the number of ids that the sentencepiece library's encode gives for a unigram vocabulary. A null or empty text has no
+    tokens. Repeated rows each get a row, whatever their id. Other columns are ignored.
     """
 
     def run(batches):

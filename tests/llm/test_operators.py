@@ -12,7 +12,6 @@ import sentencepiece
 from palimpsest.llm import exact_dedup, language_id, language_model, line_dedup, near_dedup, secret_scan, url_filter
 from palimpsest.llm.decontaminate import clean, contamination
 from palimpsest.llm.piece_encoding import MergeEncoder, piece_ids
-from palimpsest.llm.token_counts import Counter, token_counts
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 LONG = "der die das und ist im zu " * 9000
@@ -132,24 +131,6 @@ def test_piece_encoding_is_the_librarys(docs, none):
     assert piece_ids(none, MODEL).collect() == []
 
 
-def test_token_counts_by_plain_viterbi(docs, none):
-    c = Counter(MODEL, memo=500)
-    v = c.v
-    for t in random_texts(2)[:400]:
-        s = " " + t.replace("▁", " ") if t else ""
-        best = [(0.0, 0)] + [None] * len(s)
-        for e in range(1, len(s) + 1):
-            for b in range(max(0, e - 20), e):  # from the left: a later start must be better to win
-                i = v.id_of.get(s[b:e])
-                if i is not None or b == e - 1:
-                    x = best[b][0] + (v.score[i] if i is not None else c.unknown), best[b][1] + (1 if i is not None else len(v.bytes_of(s[b])))
-                    if best[e] is None or x[0] > best[e][0]:
-                        best[e] = x
-        if s and min(x[0] for x in best) > -1e9:  # below, sums of the least score lose their last digits
-            assert c.count(t) == best[-1][1], repr(t)
-    assert token_counts(docs, MODEL).count() == len(TEXTS) and token_counts(none, MODEL).collect() == []
-
-
 def test_language_id(spark, docs, none):
     words = {"en": "the and with of that thing", "fr": "le la vous être où ça", "de": "der über straße und nicht"}
     rng = np.random.default_rng(4)
