@@ -1,13 +1,14 @@
 """Line deduplication with DataFrame functions only: first occurrences by range partition and secondary sort.
 
-A line's key is its 128-bit hash after trimming and lower-casing. Rows are (key, document, positions), one for each distinct
-key of a document, so a line repeated inside a document is one row. They are partitioned by range of (hash, salt of the
-document) and sorted by document; the first document of each (key, salt) is streamed off, and a second such pass over these
-firsts alone, at most `salts` to a key, finds each key's first document. No text moves before the end: what comes out
-is, for each document that loses lines, its keep bitmap as runs of dropped lines.
-
-Scale: a line that a third of all documents hold falls into `salts` groups, each sorted with spill; the second pass sees at most
-`salts` rows of it. Positions of one document are the only thing gathered, bounded by its number of lines.
+A line's key, after trimming and lower-casing, goes by two 64-bit hashes of different seeds; keys of equal hashes count as equal (of a
+trillion lines some pair is confused with probability 1e-15). Rows (hashes, document, position), one a line, are written once, partitioned by range of hash and
+sorted by document and position; the first document of each key is streamed off, and what other documents have of it is lost.
+No text moves: what comes out is, for each document that loses lines, its keep bitmap as runs of dropped lines.
+
+Scale: keys are counted first, with partial counts before the shuffle. A key with more than `per_group` lines is dealt over salts of
+about as many lines each, by document; the first document of each salt is streamed off as for any key, and only the lines of these
+firsts, one document a salt, are compared again. The rest of such a key is lost already, and no other key has a second pass.
+Positions of one document are the only thing gathered, bounded by its number of lines.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import narrow
+from palimpsest.llm.common import narrow, written
 
 MIN_POINTS = 10
 
@@ -28,14 +29,7 @@ def _lines(text):
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _first_documents(rows: DataFrame, salt: str):
-    """rows with `first`, whether the row's document is the first of its key and salt. Null ids come last."""
-    dealt = rows.repartitionByRange(_partitions(rows), "h", salt)
-    order = Window.partitionBy("h", "h2", salt).orderBy(F.col("doc_id").asc_nulls_last())
-    return dealt.withColumn("first", F.col("doc_id").eqNullSafe(F.first("doc_id").over(order)))
-
-
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_points: int = MIN_POINTS, salts: int = 1024) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_points: int = MIN_POINTS, per_group: int = 1 << 12) -> DataFrame:
     """One row per text that loses lines: doc_id, digest, n_dropped, runs (the keep bitmap, run-length coded: first dropped line and length).
 
     Lines are split at \\n. A key of at least `min_points` code points loses all its lines in every document but the one of
@@ -48,11 +42,18 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # lower() would also change letters beyond ASCII: where there are any, A-Z are translated
     key = F.when(F.octet_length(trimmed) == F.char_length(trimmed), F.lower(trimmed)).otherwise(F.translate(trimmed, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     lines = texts.select("doc_id", F.xxhash64("text").alias("digest"), F.posexplode(_lines(F.col("text"))).alias("pos", "line")).select("doc_id", "digest", "pos", key.alias("key"))
-    rows = lines.filter(F.char_length("key") >= min_points).select("doc_id", "digest", "pos", F.xxhash64("key").alias("h"), F.xxhash64(F.lit("second"), F.col("key")).alias("h2"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"))
-    apart = _first_documents(rows, "salt").withColumnRenamed("first", "once")
-    # The firsts of all salts meet under salt -1; what is dropped already goes where it was.
-    apart = apart.withColumn("salt", F.when(F.col("once"), F.lit(-1).cast("long")).otherwise(F.col("salt")))
-    lost = _first_documents(apart, "salt").filter("not (once and first)")
+    rows = written(lines.filter(F.char_length("key") >= min_points).select("doc_id", "digest", "pos", F.xxhash64("key").alias("h"), F.xxhash64(F.lit("second"), F.col("key")).alias("h2")))
+    hot = rows.groupBy("h", "h2").agg(F.count("*").alias("n")).filter(F.col("n") > per_group).select("h", "h2", F.ceil(F.col("n") / per_group).cast("int").alias("salts"))
+    salt = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"), F.lit(-1))  # -1: the key is in one piece
+    dealt = rows.join(written(hot), ["h", "h2"], "left").withColumn("salt", salt).drop("salts").repartitionByRange(_partitions(rows), "h", "salt")
+    order = Window.partitionBy("h", "h2", "salt").orderBy(F.col("doc_id").asc_nulls_last(), "pos")
+    apart = written(dealt.withColumn("first", F.col("doc_id").eqNullSafe(F.first("doc_id").over(order))).filter("salt >= 0 or not first"))
+    # firsts of a salt: all but those of the key's first document are lost too
+    firsts = apart.filter("salt >= 0 and first")
+    place = lambda: F.struct(F.col("doc_id").isNull(), "doc_id")
+    least = firsts.groupBy("h", "h2").agg(F.min(place()).alias("least"))
+    late = firsts.join(least, ["h", "h2"]).filter(place() != F.col("least"))
+    lost = apart.filter("not first").select("doc_id", "digest", "pos").unionByName(late.select("doc_id", "digest", "pos"))
     drops = lost.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     starts = F.filter("at", lambda x, i: (i == 0) | (F.get("at", i - 1) != x - 1))
     ends = F.filter("at", lambda x, i: (i == F.size("at") - 1) | (F.get("at", i + 1) != x + 1))
