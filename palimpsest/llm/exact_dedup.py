@@ -1,8 +1,8 @@
 """Exact deduplication by composable polynomial fingerprints.
 
 A text, less its white space, is cut into chunks. Each chunk's polynomial hash is a dot product with powers of a base; the
-hashes of neighbours combine by length-shifted arithmetic, hash(a + b) = hash(a) * base ** len(b) + hash(b), so chunks of a huge
-text can be hashed apart, in any order and place. Rows of equal fingerprint and length are then compared with one
+hashes of neighbours combine by length-shifted arithmetic, hash(a + b) = hash(a) * base ** len(b) + hash(b). So texts of more than `huge` bytes
+are dealt over tasks chunk by chunk, hashed apart, and their hashes combined in order. Rows of equal fingerprint and length are then compared with one
 representative chunk by chunk, so a collision costs time and never a wrong result.
 
 Scale: only rows of about 100 bytes are grouped, with map-side aggregation. Texts move only for rows whose fingerprint is
@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from palimpsest.llm.common import narrow, slices, written
 
@@ -57,8 +58,8 @@ class Polynomial:
         return total
 
 
-def _fingerprints(prime: int, bases: tuple[int, ...]):
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n_bytes", pa.int64()), ("n_points", pa.int64()), ("sha", pa.string())])
+def _fingerprints(prime: int, bases: tuple[int, ...], id_type: pa.DataType):
+    schema = pa.schema([("doc_id", id_type), ("fp", pa.int64()), ("n_bytes", pa.int64()), ("n_points", pa.int64()), ("sha", pa.string())])
 
     def run(batches):
         poly = Polynomial(prime, bases)
@@ -71,11 +72,45 @@ def _fingerprints(prime: int, bases: tuple[int, ...]):
                 fp.append(high << 31 | low)
                 n_bytes.append(len(t))
                 sha.append(hashlib.sha256(t).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fp, pa.int64()), pa.array(n_bytes, pa.int64()), pc.utf8_length(text).cast(pa.int64()), pa.array(sha)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64()), pa.array(n_bytes, pa.int64()), pc.utf8_length(text).cast(pa.int64()), pa.array(sha)], schema=schema)
 
     return run
 
 
+def _pieces(batches):
+    """Chunks of long texts, as they stand: (row, at, piece)."""
+    for batch in slices(batches, 1):
+        row, text = batch.column("row")[0], batch.column("text").cast(pa.binary())[0].as_buffer()
+        for at in range(0, len(text), CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array([row.as_py()], pa.int64()), pa.array([at], pa.int64()), pa.array([text[at : at + CHUNK].to_pybytes()], pa.binary())], names=["row", "at", "piece"])
+
+
+def _piece_hashes(prime: int, bases: tuple[int, ...]):
+    """Of each chunk, less its white space, the length, the hashes, and what they shift the hashes before them by."""
+
+    def run(batches):
+        poly = Polynomial(prime, bases)
+        for batch in slices(batches):
+            bare = [p.translate(None, _BLANK) for p in batch.column("piece").to_pylist()]
+            found = [[pa.array([poly.of(p)[k] for p in bare], pa.int64()), pa.array([pow(bases[k], len(p), prime) for p in bare], pa.int64())] for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("at"), pa.array([len(p) for p in bare], pa.int64()), *found[0], *found[1]], names=["row", "at", "n", "h0", "s0", "h1", "s1"])
+
+    return run
+
+
+def _huge_fingerprints(texts: DataFrame, prime: int, bases: tuple[int, int]) -> DataFrame:
+    """As _fingerprints, for long texts: chunks over tasks, combined by their order."""
+    rows = texts.withColumn("row", F.monotonically_increasing_id())
+    pieces = rows.select("row", "text").mapInArrow(_pieces, "row long, at long, piece binary").repartition("row", "at")
+    hashed = pieces.mapInArrow(_piece_hashes(prime, bases), "row long, at long, n long, h0 long, s0 long, h1 long, s1 long")
+    chunks = hashed.groupBy("row").agg(F.sum("n").alias("n_bytes"), F.array_sort(F.collect_list(F.struct("at", "h0", "s0", "h1", "s1"))).alias("chunks"))
+    whole = lambda k: F.aggregate("chunks", F.lit(0).cast("long"), lambda done, x: (done * x[f"s{k}"] + x[f"h{k}"]) % prime)
+    found = chunks.select("row", "n_bytes", F.shiftleft(whole(0), 31).bitwiseOR(whole(1)).alias("fp"))
+    bare = F.translate("text", " \t\n\x0b\x0c\r", "")
+    sized = rows.select("row", "doc_id", F.char_length("text").cast("long").alias("n_points"), F.sha2(bare, 256).alias("sha"))
+    return sized.join(found, "row").select("doc_id", "fp", "n_bytes", "n_points", "sha")
+
+
 def same(a: bytes, b: bytes, chunk: int = CHUNK) -> bool:
     """Whether two byte strings are equal, compared a chunk at a time; the first difference ends it."""
     left, right = memoryview(a), memoryview(b)
@@ -93,7 +128,7 @@ def _compare(batches):
                 key, head = now, text
             elif not same(head, text):
                 out.append((row["doc_id"], row["sha"]))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string())], names=["doc_id", "sha"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], batch.schema.field("doc_id").type), pa.array([x[1] for x in out], pa.string())], names=["doc_id", "sha"])
 
 
 def _differing(texts: DataFrame, rows: DataFrame, per_salt: int) -> DataFrame:
@@ -108,19 +143,22 @@ def _differing(texts: DataFrame, rows: DataFrame, per_salt: int) -> DataFrame:
     found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).filter(F.sha2(blank, 256) == F.col("sha"))
     own = F.array(F.pmod(F.xxhash64("doc_id", "sha"), F.col("salts")).cast("int"))
     dealt = found.select("doc_id", "sha", *key, F.coalesce("text", F.lit("")).alias("text"), "is_head", F.explode(F.when(F.col("is_head"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(own)).alias("salt"))
-    return dealt.repartition(*key, "salt").sortWithinPartitions(*key, "salt", F.desc("is_head")).select(*key, "salt", "doc_id", "sha", "text").mapInArrow(_compare, "doc_id long, sha string")
+    return dealt.repartition(*key, "salt").sortWithinPartitions(*key, "salt", F.desc("is_head")).select(*key, "salt", "doc_id", "sha", "text").mapInArrow(_compare, f"doc_id {dict(texts.dtypes)['doc_id']}, sha string")
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, prime: int = PRIME, bases: tuple[int, int] = BASES, per_salt: int = 64) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, prime: int = PRIME, bases: tuple[int, int] = BASES, per_salt: int = 64, huge: int = 4 << 20) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical without `[\\x20\\x09-\\x0D]`. Of equal texts the one of most code points stays, then the
     smallest id. A null text counts as empty, and empty texts equal one another. A null id loses every tie. Repeated rows (same id
     and text) each get a row and all have kept alike; several rows of one id are judged each by its own text. An empty table
-    gives an empty result. Other columns are ignored.
+    gives an empty result. Ids are of any type that has an order. Other columns are ignored.
     """
     texts = narrow(docs, id_col, text_col)
-    rows = written(texts.mapInArrow(_fingerprints(prime, bases), "doc_id long, fp long, n_bytes long, n_points long, sha string")).withColumn("round", F.lit(0))
+    is_huge = F.coalesce(F.octet_length("text") > huge, F.lit(False))
+    id_type = to_arrow_type(texts.schema["doc_id"].dataType)
+    usual = texts.filter(~is_huge).mapInArrow(_fingerprints(prime, bases, id_type), f"doc_id {dict(texts.dtypes)['doc_id']}, fp long, n_bytes long, n_points long, sha string")
+    rows = written(usual.unionByName(_huge_fingerprints(texts.filter(is_huge), prime, bases))).withColumn("round", F.lit(0))
     unsure, n = rows, 0
     while not (wrong := written(_differing(texts, unsure.drop("round"), per_salt))).isEmpty():
         n += 1  # fingerprints have collided: what differs from its representative gets one of its own
