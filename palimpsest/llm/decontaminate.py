@@ -5,7 +5,8 @@ every other ASCII byte separates words, byte tables do this at C speed and a wor
 the original.
 
 Scale: documents never move. The patterns, not the documents, are broadcast, in blocks of at most `block_bytes` of pattern
-text; a larger benchmark makes more blocks, each a pass over the documents, whose counts are then joined by a shuffle of hits only.
+text; a larger benchmark makes more blocks, each a pass over the documents, whose counts are then joined by a shuffle of hits only. The driver
+holds one partition of patterns and one block at a time.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ def _scanner(patterns):
 
 def _blocks(items: DataFrame, size: int, block_bytes: int):
     """The distinct windows with their items, brought to the driver a block at a time."""
-    block, used = [], 0
+    block, used, any_ = [], 0, False
     schema = "pattern string, item string"
 
     def run(batches):
@@ -101,8 +102,9 @@ def _blocks(items: DataFrame, size: int, block_bytes: int):
         used += len(row["pattern"]) + sum(map(len, row["items"]))
         if used >= block_bytes:
             yield block
-            block, used = [], 0
-    yield block
+            block, used, any_ = [], 0, True
+    if block or not any_:
+        yield block
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", *, window: int = WINDOW, block_bytes: int = 2 << 20) -> DataFrame:
@@ -114,15 +116,13 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     texts, out = narrow(docs, id_col, text_col), None
     sc = docs.sparkSession.sparkContext
     schema = f"doc_id {dict(texts.dtypes)['doc_id']}, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long, first: long, last: long>>"
-    blocks = list(_blocks(narrow(items, item_col, item_text), window, block_bytes))
-    if len(blocks) > 1 and not blocks[-1]:
-        blocks.pop()
+    blocks = [sc.broadcast(b) for b in _blocks(narrow(items, item_col, item_text), window, block_bytes)]
     if len(blocks) == 1:
-        return texts.mapInArrow(_scanner(sc.broadcast(blocks[0])), schema)
+        return texts.mapInArrow(_scanner(blocks[0]), schema)
     # Many blocks: each scans the documents; only rows that are hit move, keyed by id and digest of the text.
     texts = texts.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
     for patterns in blocks:
-        part = texts.mapInArrow(_scanner(sc.broadcast(patterns)), f"{schema}, sha string").filter("n_hit > 0")
+        part = texts.mapInArrow(_scanner(patterns), f"{schema}, sha string").filter("n_hit > 0")
         out = part if out is None else out.unionByName(part)
     rows = texts.mapInArrow(_scanner(sc.broadcast([])), f"{schema}, sha string").select("doc_id", "n_words", F.col("sha").alias("own"))
     hits = _merged(out).withColumnRenamed("doc_id", "id")
@@ -159,8 +159,9 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: s
 
         return run
 
-    blocks = list(_blocks(narrow(items, item_col, item_text), window, block_bytes))
+    sc = docs.sparkSession.sparkContext
+    blocks = [sc.broadcast(b) for b in _blocks(narrow(items, item_col, item_text), window, block_bytes)]
     for k, patterns in enumerate(blocks):
-        docs = docs.mapInArrow(keeper(docs.sparkSession.sparkContext.broadcast(patterns)), docs.schema)
+        docs = docs.mapInArrow(keeper(patterns), docs.schema)
         docs = written(docs) if k + 1 < len(blocks) else docs
     return docs
