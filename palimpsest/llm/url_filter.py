@@ -3,11 +3,12 @@
 Two smoothed variable-order Markov models, one of the URLs that rules allow and one of those that they block: the probability
 of a character after up to three others, each order interpolated with the next lower one by Witten and Bell's rule,
 P(c|h) = (n(hc) + t(h) P(c|h')) / (n(h) + t(h)), t(h) being the number of different characters seen after h. The score of a URL is
-its log-likelihood ratio divided by its length; the threshold is the one with the best mean of both classes' shares of right
-decisions on all URLs that rules decide.
+its log-likelihood ratio divided by its length. Of the URLs that rules decide, one in HELD_OUT by hash is not counted in the models: the
+threshold is the one with the best mean of both classes' shares of right decisions on these.
 
 Scale: URLs are counted once each. The models hold at most ALPHABET ** ORDER grams (a proven bound, 39 ** 4), so the table of ratios is
-broadcast; characters of a URL are summed where they are made, before the shuffle. The driver gets one number, the threshold.
+broadcast; characters of a URL are summed where they are made, before the shuffle. Ratios and scores are written once. The driver gets one
+number, the threshold.
 """
 
 from __future__ import annotations
@@ -15,11 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import written
+
 ORDER = 4
 #: 26 letters, one for digits, ten marks, one for all else, one before the start.
 ALPHABET = 39
 #: Width of the bins that the threshold is chosen from.
 STEP = 0.01
+#: One in so many of the URLs that rules decide is kept from the models, to choose the threshold on.
+HELD_OUT = 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -67,12 +72,15 @@ def log_ratios(grams: DataFrame) -> DataFrame:
     return p.select(F.col("g").alias("gram"), (F.log("pa") - F.log("pb")).alias("ratio"))
 
 
-def scored(pages: DataFrame) -> DataFrame:
-    """(url, n, known, score) for each distinct URL of pages (url, known) that is not null."""
+def scored(pages: DataFrame, held_out: int = 0) -> DataFrame:
+    """(url, n, known, held, score) for each distinct URL of pages (url, known) that is not null. One known URL in `held_out` is held, that is
+    not counted in the models; 0 is none."""
     urls = pages.filter("url is not null").groupBy("url").agg(F.count("*").alias("n"), F.max("known").alias("known"))
-    count = lambda v: F.sum(F.when(F.col("known") == v, F.col("n")).otherwise(0))
+    held = F.col("known").isNotNull() & (F.pmod(F.xxhash64("url", F.lit("held out")), F.lit(held_out)) == 0) if held_out else F.lit(False)
+    urls = urls.withColumn("held", held)
+    count = lambda v: F.sum(F.when((F.col("known") == v) & ~F.col("held"), F.col("n")).otherwise(0))
     grams = _grams(urls)
-    ratios = log_ratios(grams.groupBy("gram").agg(count("allow").alias("a"), count("block").alias("b")))
+    ratios = written(log_ratios(grams.groupBy("gram").agg(count("allow").alias("a"), count("block").alias("b"))))
     ratio = grams.join(F.broadcast(ratios), "gram").groupBy("url").agg(F.avg("ratio").alias("score"))
     return urls.join(ratio, "url", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
@@ -93,13 +101,15 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "p
     """One row per row of pages: page_id, url, host, path, rule, score, verdict.
 
     A null url, or one without ://, has empty host and path; a null or empty url scores 0. Where no rule fits, a URL is allowed if its
-    score reaches the threshold; if rules allow none or block none, every such URL is allowed. Repeated rows each get a row and count as
+    score reaches the threshold; if rules allow none or block none, every such URL is allowed, and if none of either is held out, the
+    threshold is chosen on all URLs that rules decide. Repeated rows each get a row and count as
     often in the models. Other columns are ignored.
     """
     own = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"))
     found = with_rule(with_parts(own, "url"), rules)
-    scores = scored(found)
-    least = threshold(scores)
+    scores = written(scored(found, HELD_OUT))
+    least = threshold(scores.filter("held"))
+    least = threshold(scores) if least is None else least
     both = found.join(scores.select(F.col("url").alias("of"), "score"), F.col("url") == F.col("of"), "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     by_score = F.lit("allow") if least is None else F.when(F.floor(F.col("score") / STEP) >= F.lit(least), "allow").otherwise("block")
     return both.select("page_id", "url", "host", "path", "rule", "score", F.coalesce("known", by_score).alias("verdict"))
