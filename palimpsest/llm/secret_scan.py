@@ -2,8 +2,11 @@
 
 A byte-pair vocabulary learnt from text spends few tokens on words and many on random strings. A run of 20 or more
 key characters is reported as random when it takes few characters to a token, unless it is a known digest (hexadecimal of a
-usual digest's length), an identifier (UUID, number, words joined or in camel case that each take many characters to a token), or
-overlaps a span that the patterns found. Letters alone are no identifier by that.
+usual digest's length) or an identifier (UUID, number, words joined or in camel case that each take many characters to a token). Letters
+alone are no identifier by that. What the patterns found is left out of a run, and each rest that is long enough is tested.
+
+The bound of 2.0 characters a token is calibrated by test: of random strings of 20 to 64 characters of usual alphabets at least 95 % are
+reported, of joined words of a text at most 1 %.
 
 Scale: narrow, no shuffle, whole texts; only candidate runs are tokenised.
 """
@@ -25,7 +28,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 #: Equivalent to HEX and its least length, since a run is either long enough or not.
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Characters that a run has at least.
+LEAST = 20
+_RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 #: Lengths in hexadecimal digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512 (fixed values).
 DIGESTS = (32, 40, 56, 64, 96, 128)
 _HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
@@ -66,12 +71,22 @@ class Efficiency:
         return len(run) / len(self.encoding.encode_ordinary(run))
 
 
+def rests(start: int, end: int, spans: list[tuple[int, int, str]], least: int = LEAST) -> list[tuple[int, int]]:
+    """What no span covers of [start, end), in pieces of at least `least`."""
+    out = []
+    for a, b, _ in sorted(spans):
+        if a < end and start < b:
+            out.append((start, a))
+            start = max(start, b)
+    return [(a, b) for a, b in [*out, (start, end)] if b - a >= least]
+
+
 def scan(text: str | None, efficiency, most: float) -> list[tuple[int, int, str]]:
     """All spans of a text by start, then kind as in KINDS."""
     text = text or ""
     found = patterns(text)
-    more = [m for m in _RUN.finditer(text) if not any(m.start() < b and a < m.end() for a, b, _ in found)]
-    found += [(*m.span(), "random") for m in more if efficiency(m[0]) <= most and not excluded(m[0], efficiency, most)]
+    more = [place for m in _RUN.finditer(text) for place in rests(*m.span(), found)]
+    found += [(a, b, "random") for a, b in more if efficiency(run := text[a:b]) <= most and not excluded(run, efficiency, most)]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
