@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import fold_of, slices
 
 WINDOW, EMBED, FILTERS, WIDTHS = 192, 6, 12, (2, 3, 4)
-EXCERPT = 768
 _SPAN = max(WIDTHS)
 
 
@@ -107,39 +106,43 @@ def fit(texts: list[str], labels: list[str], epochs: int = 8, batch: int = 128,
     return net
 
 
-def predict(net: Network | None, texts: list[str | None], rows: int = 96) -> list[tuple[str, float]]:
-    """For each text the most probable label and its probability; ("und", 0.0) for a text that is null or has no letter."""
+def predict(net: Network | None, texts: list[str | None], rows: int = 96) -> list[tuple[str, float, float]]:
+    """For each text the most probable label, its probability, and how certain its windows are of whichever label each is in: the mean of
+    their largest probabilities, which a text in several languages has high too. ("und", 0.0, 0.0) for a text that is null or has no letter."""
     at = [k for k, t in enumerate(texts) if t and any(map(str.isalpha, t))]
-    out = [("und", 0.0)] * len(texts)
+    out = [("und", 0.0, 0.0)] * len(texts)
     if not at or not net or not net.labels:
         return out
     codes, owner, lengths = windows([texts[k] for k in at])
     p = np.concatenate([net.probabilities(codes[k : k + rows]) for k in range(0, len(codes), rows)]) * lengths[:, None]
-    total = np.add.reduceat(p, np.searchsorted(owner, np.arange(len(at))), axis=0)
-    total /= total.sum(axis=1, keepdims=True)
-    for k, best, row in zip(at, total.argmax(axis=1), total, strict=True):
-        out[k] = (net.labels[best], float(row[best]))
+    first = np.searchsorted(owner, np.arange(len(at)))
+    total, certain = np.add.reduceat(p, first, axis=0), np.add.reduceat(p.max(axis=1), first)
+    size = total.sum(axis=1)
+    for k, best, row, most, n in zip(at, total.argmax(axis=1), total, certain, size, strict=True):
+        out[k] = (net.labels[best], min(1.0, float(row[best] / n)), min(1.0, float(most / n)))
     return out
 
 
-def labelled_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_language: int):
-    """At most per_language excerpts of at most EXCERPT characters for each label, each from a place that the id's hash picks."""
+def labelled_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_language: int, excerpt: int):
+    """At most per_language excerpts of at most `excerpt` characters for each label, each from a place that the id's hash picks."""
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{label_col}`").cast("string").alias("label"))
     rows = rows.filter("label is not null and text is not null and text != ''")
     h = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))
-    start = F.pmod(h, F.greatest(F.lit(1), F.char_length("text") - EXCERPT)).cast("int") + 1
-    picked = rows.select("label", F.pmod(h, F.lit(per_language)).alias("bucket"), F.xxhash64(F.col("doc_id").cast("string")).alias("order"), F.substring("text", start, F.lit(EXCERPT)).alias("excerpt"))
+    start = F.pmod(h, F.greatest(F.lit(1), F.char_length("text") - excerpt)).cast("int") + 1
+    picked = rows.select("label", F.pmod(h, F.lit(per_language)).alias("bucket"), F.xxhash64(F.col("doc_id").cast("string")).alias("order"), F.substring("text", start, F.lit(excerpt)).alias("excerpt"))
     return picked.groupBy("label", "bucket").agg(F.min(F.struct("order", "excerpt")).alias("x")).select("label", "x.excerpt")
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", *, per_language: int = 256) -> Network | None:
-    """The network of the labelled rows of docs, or None where there are none. Null labels and texts are left out."""
-    rows = labelled_sample(docs, id_col, text_col, label_col, per_language).collect()
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", *, per_language: int = 256, excerpt: int = 768) -> Network | None:
+    """The network of the labelled rows of docs, or None where there are none. Null labels and texts are left out. The sample's bounds are
+    `per_language` rows of each label and `excerpt` characters of each; they hold for fitting alone."""
+    rows = labelled_sample(docs, id_col, text_col, label_col, per_language, excerpt).collect()
     return fit([r["excerpt"] for r in rows], [r["label"] for r in rows]) if rows else None
 
 
-def languages(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", *, keep: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """One row per row of docs: doc_id, and under `names` the label and its probability (with keep, all columns of docs and these two).
+def languages(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", *, keep: bool = False, names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """One row per row of docs: doc_id, and under `names` the label, its probability and, by a third name, how certain the text's windows are
+    (with keep, all columns of docs and these).
 
     A text that is null or has no letter is `und` with score 0, as is every text if there was nothing to learn from. Only the text
     decides. Repeated rows each get a row. With keep, docs must not have columns of these names.
@@ -152,9 +155,11 @@ def languages(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text
         for batch in slices(batches, 256):
             got = predict(net, batch.column(name).to_pylist())
             columns = {c: batch.column(c) for c in batch.schema.names if c not in drop}
-            yield pa.RecordBatch.from_pydict(columns | {names[0]: pa.array([g[0] for g in got], pa.string()), names[1]: pa.array([g[1] for g in got], pa.float64())})
+            yield pa.RecordBatch.from_pydict(columns | {n: pa.array([g[k] for g in got], pa.float64() if k else pa.string()) for k, n in enumerate(names)})
 
-    schema = rows.drop(*drop).schema.add(names[0], "string").add(names[1], "double")
+    schema = rows.drop(*drop).schema
+    for k, n in enumerate(names):
+        schema = schema.add(n, "double" if k else "string")
     return rows.mapInArrow(run, schema)
 
 

@@ -49,7 +49,8 @@ class Counter:
             self.automaton.add_word(v.text[i], (len(v.text[i]), v.score[i]))
         self.automaton.make_automaton()
         self.unknown = single(min(v.score[i] for i in v.normal) - UNKNOWN_PENALTY)
-        self.known = {p for p in v.id_of if len(p) == 1}
+        self.first = {p: v.score[i] for p, i in v.id_of.items() if len(p) == 1}
+        self.known = set(self.first)
         scores = [self.unknown, *(v.score[i] for i in v.normal)]
         usual = [x for x in scores if abs(x) <= REBASE] or [0.0]
         #: whether sums of usual scores are exact: all in one unit, few of them
@@ -60,6 +61,7 @@ class Counter:
         low = [abs(x) for x in scores if abs(x) > REBASE]
         one_place = bool(low) and len({frexp(x + d * REBASE)[1] for x in low for d in (-4, 4)}) == 1  # so that all low sums are rounded alike
         self.slots = int(self.place * self.unit) if self.grid and one_place and self.place * self.unit <= 256 else 0
+        self.to_even = 1.5 * 2**52 * self.place
         self.limit = _EXACT / self.unit if self.grid else 0.0
         self.by_atom, self.by_place = Memo(memo), Memo(memo // 2)
 
@@ -119,24 +121,28 @@ class Counter:
     def rounded(self, text: str, before: float, program=None) -> tuple[tuple[int, bool, bool], float]:
         """The ids of a word and the sum behind it, all sums as the library forms them behind the sum `before`."""
         program = program or self.program(text)
-        size, far, exact = len(text), 0, self.limit
-        best, back = [before, *[None] * size], [None] * (size + 1)
-        for at in range(size):
-            sum_ = best[at]
+        size, far, exact, runs = len(text), 0, self.limit, not self.v.by_bytes
+        best, counts, back = [before, *[None] * size], [0] * (size + 1), [None] * (size + 1)
+        for at, found in enumerate(program):
+            sum_, n_ids = best[at], counts[at]
             if sum_ < -REBASE or sum_ > REBASE:
                 for k in range(at + 1, far + 1):
                     if best[k] is not None:
                         moved = best[k] - sum_
                         best[k] = moved if -exact < moved < exact else single(moved)
                 sum_ = 0.0
-            for end, score, n in program[at]:
+            for end, score, n in found:
                 total, old = sum_ + score, best[end]
                 if not -exact < total < exact:
                     total = single(total)
                 if old is None or total > old:
-                    best[end], back[end] = total, (at, n)
-                    if end > far:
-                        far = end
+                    best[end], counts[end] = total, n_ids + n
+                    if runs:
+                        back[end] = (at, n)
+            if found[-1][0] > far:
+                far = found[-1][0]
+        if not runs:
+            return (counts[-1], False, False), best[-1]
         at, ids = size, []
         while at:
             at, n = back[at]
@@ -177,28 +183,36 @@ class Counter:
         sum_ = 0.0 if sum_ < -REBASE or sum_ > REBASE else sum_
         return ids, sum_, int(sum_ % self.place * self.unit) if self.slots else 0
 
+    def case(self, rest: float, low: float, scores: list[float]) -> tuple[list[float], list[float]]:
+        """The sums of a word's first pieces from where its first character alone ends, exact and rounded to their last place."""
+        to_even, base = self.to_even, rest - single(rest + low)
+        exact = [base + score for score in scores]
+        return exact, [x + to_even - to_even for x in exact]
+
     def behind(self, atom: str, before: float) -> tuple[tuple[int, bool, bool], float, int]:
         """What settled gives for a word behind the sum `before`."""
-        if self.slots and len(atom) <= 64 and abs(low := self.first(atom[0])) > 4 * REBASE:
+        if self.slots and len(atom) <= 64 and abs(low := self.first.get(atom[0], self.unknown)) > 4 * REBASE:
             # The first character alone leaves the range from wherever it starts, so behind it sums count from there: all that they keep
             # of `before` is how those of the word's first pieces are rounded.
-            program = None
+            rest = before % self.place
+            at = int(rest * self.unit)
             if (known := self.by_place.find(atom)) is None:
                 program = self.program(atom)
-                known = (bytearray(self.slots), [None], [None], [score for _, score, _ in program[0][1:]])
-                self.by_place.put(atom, known)
+                numbers, got = bytearray(self.slots), self.settled(*self.rounded(atom, before, program))
+                numbers[at] = 1
+                scores = [score for _, score, _ in program[0][1:]]
+                self.by_place.put(atom, (numbers, [None, got], [None, self.case(rest, low, scores)[1]], scores))
+                return got
             numbers, results, cases, scores = known
-            rest, unit = before % self.place, self.unit
-            at, half, to_even = int(rest * unit), self.place / 2, 1.5 * 2**52 * self.place
             if not numbers[at]:
-                exact = [rest - single(rest + low) + score for score in scores]
-                case = [x + to_even - to_even for x in exact]  # rounded to the last place of such sums
+                exact, case = self.case(rest, low, scores)
                 if case not in cases:
                     if len(cases) > 255:
-                        return self.settled(*self.rounded(atom, before, program))
+                        return self.settled(*self.rounded(atom, before))
                     cases.append(case)
-                    results.append(self.settled(*self.rounded(atom, before, program)))
+                    results.append(self.settled(*self.rounded(atom, before)))
                 # the same holds as far as no sum comes to the middle between two places
+                half, unit = self.place / 2, self.unit
                 off = [x - y for x, y in zip(exact, case, strict=True)] + [rest if rest < half else rest - self.place if rest > half else half]
                 first, last = at - int((half + min(off)) * unit) + 1, at + int((half - max(off)) * unit) - 1
                 first, last = max(min(first, at), 0), min(max(last, at), self.slots - 1)
@@ -213,9 +227,6 @@ class Counter:
             return self.settled(ids, before)
         return self.settled(*self.rounded(atom, before))
 
-    def first(self, char: str) -> float:
-        return self.v.score[self.v.id_of[char]] if char in self.known else self.unknown
-
 
 _COUNTERS: dict[str, Counter] = {}
 

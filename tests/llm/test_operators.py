@@ -46,6 +46,10 @@ def test_exact_duplicates(docs, none, prime):
     for i, t in TEXTS:
         groups[bare(t)].append((-len(t or ""), i is None, i))
     got = exact_dedup.exact_duplicates(docs, prime=prime).collect()
+    chunked = exact_dedup.exact_duplicates(docs, prime=prime, huge=3).collect()  # the chunks of nearly all texts hashed apart
+    assert sorted(map(str, chunked)) == sorted(map(str, got))
+    by_text = exact_dedup.exact_duplicates(docs.selectExpr("concat('id', doc_id) as name", "text"), "name", prime=prime).collect()
+    assert sorted((r.group_size, r.text_sha256) for r in by_text) == sorted((r.group_size, r.text_sha256) for r in got)
     want = [(i, min(groups[bare(t)])[2], len(groups[bare(t)]), hashlib.sha256(bare(t).encode()).hexdigest()) for i, t in TEXTS]
     assert sorted(map(str, [(r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got])) == sorted(map(str, want))
     assert exact_dedup.exact_duplicates(none).collect() == []
@@ -59,8 +63,9 @@ def test_line_dedup(docs, none):
         for x in (t or "").split("\n"):
             first[key(x)] = min(first.get(key(x), order(i)), order(i))
     want = ["\n".join(x for x in (t or "").split("\n") if len(key(x)) < 10 or first[key(x)] == order(i)) for i, t in TEXTS]
-    got = line_dedup.apply_keep(docs.select("doc_id", "text", "h", "salt")).collect()
-    assert sorted((str(r.doc_id), r.text or "") for r in got) == sorted((str(i), w) for (i, _), w in zip(TEXTS, want))
+    for per_group in (1 << 16, 1):  # the second deals each key that is there twice over salts
+        got = line_dedup.apply_keep(docs.select("doc_id", "text", "h", "salt"), per_group=per_group).collect()
+        assert sorted((str(r.doc_id), r.text or "") for r in got) == sorted((str(i), w) for (i, _), w in zip(TEXTS, want))
     assert line_dedup.apply_keep(none.select("doc_id", "text")).collect() == []
 
 
