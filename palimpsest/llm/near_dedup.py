@@ -13,7 +13,7 @@ agree in a share of (1 + similarity) / 2, and a pair more than six standard devi
 
 Copies (equal sets) collapse to their smallest id first. In each bucket every text is compared with one hub, the smallest, so a bucket of m
 copies costs m comparisons. Where a bucket then still has several components, its texts that have a candidate in another one are
-compared exactly, in blocks of `block` texts: each pair of blocks is one group of at most 2 * block rows, whose intersections are one matrix product,
+compared exactly, in blocks of `block` texts, as are the sketches that say so: each pair of blocks is one group of at most 2 * block rows, whose intersections are one matrix product,
 and which returns a forest of the links, never the pairs. So no link is lost to a cap.
 
 Scale: shuffles carry band keys (32 a distinct text), pairs, and the text of documents that are in a pair. A hub's partners are dealt
@@ -251,6 +251,17 @@ def in_blocks(texts: DataFrame, members: DataFrame, size: int, percent: int, blo
     return ready.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "id").mapInArrow(_linked(size, percent), "u long, v long")
 
 
+def with_candidate(drawn: DataFrame, near, block: int) -> DataFrame:
+    """Those (key, id) of drawn (key, id, component, n_id, b_id) for which `near` holds with a row of the same key and another component. A key's
+    rows are dealt in blocks, and each pair of blocks is a group of its own; sketches move, not texts."""
+    sized = drawn.join(drawn.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "key")
+    sized = sized.withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int")).withColumn("any", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    mine = sized.select("key", F.col("own").alias("x"), F.col("any").alias("y"), "id", "component", "n_id", "b_id")
+    other = sized.select(F.col("key").alias("k"), F.col("any").alias("a"), F.col("own").alias("b"), F.col("component").alias("other"), F.col("n_id").alias("n_hub"), F.col("b_id").alias("b_hub"))
+    together = (F.col("key") == F.col("k")) & (F.col("x") == F.col("a")) & (F.col("y") == F.col("b"))
+    return mine.join(other, together & (F.col("component") != F.col("other")) & near, "left_semi").select("key", "id").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = SHINGLE, percent: int = 80, bands: int = BANDS, rows: int = ROWS, per_salt: int = 64, block: int = 256) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -274,9 +285,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = members.filter("n > 2").select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     left = written(left)
     open_ = left.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key")
-    drawn = written(left.join(open_, "key").join(sketch("id"), "id"))
-    other = drawn.select("key", F.col("id").alias("hub"), F.col("n_id").alias("n_hub"), F.col("b_id").alias("b_hub"), F.col("component").alias("other"))
-    unsure = drawn.join(other, (drawn["key"] == other["key"]) & (drawn["component"] != other["other"]) & near, "left_semi").select("key", "id")
+    drawn = left.join(open_, "key").join(sketch("id"), "id")
+    unsure = with_candidate(written(drawn), near, block)
     unsure = written(unsure)
     if not unsure.isEmpty():
         sized = unsure.join(unsure.groupBy("key").agg(F.count("*").alias("n")), "key")
