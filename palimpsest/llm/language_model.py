@@ -474,7 +474,8 @@ def fit(coded: DataFrame, lex: Lexicon, *, rounds: int = 2, segment: int = 512)
         shared = spark.sparkContext.broadcast((lex.bare(), weights))
         texts = coded.filter(F.pmod(F.xxhash64("row", F.lit("train")), F.lit(rounds)) == r)
         got = texts.select("codes").mapInArrow(_trainer(shared, segment), "part int, tokens double, x array<float>")
-        mean = got.repartition("part").mapInArrow(_averaged, "part int, x array<float>").toArrow()
+        # so many tasks that each reads a share of the weights that does not grow with them, of every trainer
+        mean = got.repartition(-(-len(weights) // (32 * segment)), "part").mapInArrow(_averaged, "part int, x array<float>").toArrow()
         if mean.num_rows:
             weights = np.empty_like(weights)
             for k, x in zip(mean["part"].to_pylist(), mean["x"], strict=True):
