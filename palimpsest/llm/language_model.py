@@ -103,6 +103,17 @@ def word_counts(texts: DataFrame, most: int = 400_000) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The `most` words of highest count, the first by order of bytes among equals. Words whose count has fewer binary digits than any of these
+    are left out before the sort, which ends in one task; the driver gets one number for each length."""
+    have, least = 0, 1
+    for digits, n in sorted(counts.groupBy(F.length(F.bin("c"))).agg(F.count("*")).collect(), reverse=True):
+        have, least = have + n, 1 << (digits - 1)
+        if have >= most:
+            break
+    return counts.filter(F.col("c") >= least).orderBy(F.desc("c"), "word").limit(most)
+
+
 class Lexicon:
     """The frequent words with their counts, and the totals of all training tokens."""
 
@@ -494,7 +505,7 @@ def document_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts, spark = narrow(docs, id_col, text_col), docs.sparkSession
     counts = written(word_counts(texts.filter(fold_of("doc_id", folds) != 0)))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ranked = counts.orderBy(F.desc("c"), "word").limit(cache).toArrow()
+    ranked = most_frequent(counts, cache).toArrow()
     lex = Lexicon(ranked["word"].to_pylist(), ranked["c"].to_numpy().astype(np.float64), total, distinct, shape or grown(total, cache))
     shared = spark.sparkContext.broadcast(lex)
     id_type = dict(texts.dtypes)["doc_id"]

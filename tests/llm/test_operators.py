@@ -166,6 +166,14 @@ def test_language_model_learns_from_all_texts(spark):
     assert [language_model.grown(n, 1 << 17).words for n in (10**8, 10**12)] == [100 * 100, 362 * 362]
 
 
+def test_language_model_most_frequent_words(spark):
+    rows = [(f"w{k}".encode(), c) for k, c in enumerate([1, 1, 2, 3, 3, 4, 7, 8, 8, 8, 9, 1 << 40])]
+    df, ranked = spark.createDataFrame(rows, "word binary, c long"), sorted(rows, key=lambda r: (-r[1], r[0]))
+    for most in range(1, 14):
+        assert [(bytes(r.word), r.c) for r in language_model.most_frequent(df, most).collect()] == ranked[:most]
+    assert language_model.most_frequent(df.limit(0), 3).collect() == []
+
+
 def test_language_model_gradient_and_sum():
     lex = language_model.Lexicon([b"", b"a", b"b", b"c"], np.array([5.0, 4, 3, 2]), 20, 9, language_model.Shape(2, 2, 3, 4))
     net = language_model.Network(lex)
